@@ -290,6 +290,10 @@ def statistics(texts: list[str | None], common: frozenset[str] | None = None) ->
         vis = np.cumsum((cls != SPACE) & (cls != NEWLINE) & (cls != TAB))
         full = vis[ends] > np.where(starts > 0, vis[np.maximum(starts - 1, 0)], 0)
         starts, ends = starts[full], ends[full]
+        if not len(starts):
+            for i in range(lo, hi):
+                out["n_words"][i] = 0 if texts[i] is not None else None
+            continue
         doc = np.searchsorted(cut, starts, side="right")
         sym, weight, count, stopped = line_symbols(cp, starts, ends, doc)
         state = viterbi(sym, doc)

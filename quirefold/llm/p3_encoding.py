@@ -104,7 +104,7 @@ def symbols() -> np.ndarray:
     out = np.zeros(0x110000, np.int32)
     cp = np.arange(0x110000)
     out[:] = 2000 + np.minimum(cp >> 7, 1500)
-    out[0x3400:0xA000] = 3600
+    out[0x3400:0xA000] = 3800 + cp[0x3400:0xA000] % 200
     out[0xAC00:0xD7B0] = 3601
     for c in range(128):
         out[c] = 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c <= 32 or c == 127 else 5
@@ -235,12 +235,11 @@ class Labeller:
             self.memo.clear()
         clean, least = self.score(run)
         pairs: dict[int, float] = {}
+        witness = False
         if least < COMMON and LOST not in run:
             form = canonical([run])[0] if not self.changed.isdisjoint(run) else run
             if form != run:
                 clean = max(clean, self.score(form)[0] - 2.0 - 2.0 * sum(a != b for a, b in zip(run, form, strict=False)) / max(len(run), 1))
-            letters = any(c > "\x7f" and (c.isalpha() or c < "\xa0") for c in run)
-            word = sum(c.isalnum() or "\x80" <= c < "\xa0" for c in run) > 2
             data: dict[str, bytes | None] = {}
             for i, p in enumerate(PAIRS):
                 read = p[-1]
@@ -251,7 +250,7 @@ class Labeller:
                     except KeyError:
                         data[read] = None
                 raw = data[read]
-                if raw is None or p[0] != "utf-8" and not letters:
+                if raw is None:
                     continue
                 if len(p) == 2 and p[0] == "utf-8":
                     t = raw.decode("utf-8", "replace")
@@ -265,11 +264,14 @@ class Labeller:
                 gaps = t.count(LOST)
                 if not t or t == run or gaps and gaps != len(CUT_OFF.findall(raw)) or not _legible(t):
                     continue
+                if p[0] != "utf-8" and not any(c > "\x7f" and c.isalpha() for c in t):
+                    continue
                 kept = t.replace(LOST, "") if gaps else t
                 v = self.score(kept)[0] - 6.0 * gaps - 5.0 * sum("\u2e80" <= c <= "\ud7ff" and not "\u3000" <= c <= "\u30ff" for c in t)
                 if v > clean - 12:
                     pairs[i] = v
-        self.memo[run] = got = (clean, pairs, any(v > clean + GAIN and (word or PAIRS[i][0] == "utf-8") for i, v in pairs.items()))
+                    witness |= v > clean + GAIN and (p[0] == "utf-8" or sum(map(str.isalnum, t)) > 2)
+        self.memo[run] = got = (clean, pairs, witness)
         return got
 
     def label(self, text: str, spans: list[tuple[int, int]]) -> list[int]:

@@ -39,6 +39,9 @@ BEFORE_ORDINAL = {"am", "dem", "der", "den", "vom", "zum", "im", "des", "das", "
 LINE = re.compile("[^\\n\\r\\x0b\\x0c\\u2028\\u2029]+")
 #: What the automaton must look at; everything else passes.
 EVENT = re.compile("[" + re.escape(STOP + "".join(OPEN) + "".join(LOW) + "".join(CLOSE) + "\"'‘" + "“") + "]")
+#: A mark that may be an apostrophe or close and open alike opens only if its end lies within reach.
+REACH = 2000
+QUOTED = re.compile(r"[.!?,]'(?:\s|$)")
 WORD_BEFORE = re.compile(r"[^\s\"“”„«»‹›()\[\]{}—–/]+\Z")
 DASH = "-–—―"
 #: Blanks inside an abbreviation or before a closing mark.
@@ -102,10 +105,24 @@ def _dash_follows(line: str, at: int) -> bool:
 
 
 def line_ends(line: str) -> list[int]:
-    """Ends (exclusive) of the sentences of one line, without blanks behind them."""
+    """Ends (exclusive) of the sentences of one line, without blanks behind them.
+
+    Marks that open and never close open nothing: the line is read again without them.
+    """
+    ignored: set[int] = set()
+    for turn in range(4):
+        ends, unclosed = _read(line, ignored if turn < 3 else None)
+        if not unclosed:
+            break
+        ignored |= unclosed
+    return ends
+
+
+def _read(line: str, ignored: set[int] | None) -> tuple[list[int], set[int]]:
+    """The ends, and the positions of marks that stayed open; with ignored = None no mark opens anything."""
     n = len(line.rstrip())
     if not n:
-        return []
+        return [], set()
     ends: list[int] = []
     stack: list[tuple[str, int, bool]] = []  # what closes it, where it opened, whether a colon introduced it
     begin = 0  # of the running sentence
@@ -116,7 +133,8 @@ def line_ends(line: str) -> list[int]:
             continue
         c = line[i]
         if c not in STOP:
-            _quote(line, i, c, stack)
+            if ignored is not None and i not in ignored:
+                _quote(line, i, c, stack)
             continue
         # the run of terminators, then what it closes
         j = i + 1
@@ -177,7 +195,7 @@ def line_ends(line: str) -> list[int]:
         begin = t
     if not ends or ends[-1] != n:
         ends.append(n)
-    return ends
+    return ends, {s[1] for s in stack}
 
 
 def _goes_on_after_dash(line: str, t: int) -> bool:
@@ -207,7 +225,7 @@ def _no_stop(line: str, dot: int, t: int, after: str) -> bool:
     if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
         return after != "up" or len(bare) <= 3 and word[0].isupper()
     if word.isdigit() and len(word) <= 2 and after == "up":
-        before = line[: m.start()].split()
+        before = line[max(0, m.start() - 40) : m.start()].split()
         return bool(before) and before[-1].lower().strip("(„“,") in BEFORE_ORDINAL
     if re.fullmatch(r"[ivxlc]+", word) and after == "digit":
         return True
@@ -218,21 +236,20 @@ def _quote(line: str, i: int, c: str, stack: list) -> None:
     if stack and c in stack[-1][0] and not (c in "’'" and i + 1 < len(line) and line[i + 1].isalpha()):
         stack.pop()
         return
-    before = line[:i].rstrip()
-    colon = before.endswith((":", "：", ","))and before[-1:] in ":："
+    colon = line[max(0, i - 4) : i].rstrip().endswith((":", "："))
     opening = i == 0 or not line[i - 1].isalnum()
     if c in LOW:
         stack.append((LOW[c], i, colon))
     elif c in OPEN:
         # a closing mark in some languages; a » that opens is rare and left alone
         stack.append((OPEN[c], i, colon))
-    elif c == '"' and opening and line.find('"', i + 1) > 0:
+    elif c == '"' and opening and line.find('"', i + 1, i + REACH) > 0:
         stack.append(('"', i, colon))
-    elif c == "”" and opening and not any("”" in s[0] for s in stack) and line.find("”", i + 1) > 0 and i + 1 < len(line) and not line[i + 1].isspace():
+    elif c == "”" and opening and not any("”" in s[0] for s in stack) and line.find("”", i + 1, i + REACH) > 0 and i + 1 < len(line) and not line[i + 1].isspace():
         stack.append(("”", i, colon))
-    elif c == "‘" and opening and "’" in line[i + 1 :]:
+    elif c == "‘" and opening and line.find("’", i + 1, i + REACH) > 0:
         stack.append(("’", i, colon))
-    elif c == "'" and opening and i + 1 < len(line) and line[i + 1].isalpha() and re.search(r"[.!?,]'(?:\s|$)", line[i + 1 :]):
+    elif c == "'" and opening and i + 1 < len(line) and line[i + 1].isalpha() and QUOTED.search(line, i + 1, i + REACH):
         stack.append(("'", i, colon))
 
 
@@ -246,9 +263,7 @@ def sentence_ends(text: str | None) -> list[int]:
         a = m.start()
         lead = len(s) - len(s.lstrip())
         body = s[lead:]
-        balanced = line_ends(body)
-        if balanced:
-            out += [a + lead + e for e in balanced]
+        out += [a + lead + e for e in line_ends(body)]
     return out
 
 

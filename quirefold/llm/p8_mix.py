@@ -75,19 +75,20 @@ def plan(sizes: list[dict], targets: list[dict], total: float | None = None) ->
 def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", total: float | None = None, seed: int = 42, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The selection (key, source, copy_no, n_tokens), globally shuffled, and the report by source.
 
-    targets: source, weight, max_repeat; one row a source, a table of fixed size. Documents without
+    targets: source, weight, max_repeat; a table of fixed size, of several rows of a source the largest values. Documents without
     a target source, or without tokens (null, empty), are left out. The report has, for each target:
     weight, max_repeat, n_docs, source_tokens, n_copies, n_tokens, share (of all selected tokens; 0
     where the source has no rows), mean_repeat and most_repeat.
     """
     from .kernel import checkpointed
 
+    targets = targets.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeat").alias("max_repeat"))
     step = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(STEPS)).cast("int")
-    dim = F.broadcast(targets.select("source").where("source is not null").distinct())
+    dim = F.broadcast(targets.select("source"))
     # the sources' texts only; tokens are counted once, the texts stay behind
     counted = checkpointed(token_counts(documents.join(dim, "source", "left_semi"), key, path=path, keep=("source",)).where("n_tokens > 0").withColumn("step", step))
     sizes = [r.asDict() for r in counted.groupBy("source", "step").agg(F.sum("n_tokens").alias("tokens")).collect()]
-    rows = plan(sizes, [r.asDict() for r in targets.where("source is not null").collect()], total)
+    rows = plan(sizes, [r.asDict() for r in targets.collect()], total)
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("cdf", T.ArrayType(T.DoubleType()))])
     quantiles = F.broadcast(documents.sparkSession.createDataFrame([(r["source"], r["cdf"]) for r in rows], schema))
     drawn = counted.join(quantiles, "source").withColumn("n", F.size(F.filter("cdf", lambda c: c < (F.col("step") + 0.5) / STEPS)))
@@ -97,6 +98,6 @@ def mix_sources(documents: DataFrame, targets: DataFrame, key: str = "doc_id", t
     per = drawn.groupBy("source").agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("n_docs"), F.sum("n_tokens").alias("source_tokens"), F.sum("n").alias("n_copies"), F.sum(F.col("n") * F.col("n_tokens")).alias("n_tokens"), F.max("n").alias("most_repeat"))
     everything = per.agg(F.sum("n_tokens").alias("all_tokens"))
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_docs", "source_tokens", "n_copies", "n_tokens", "most_repeat")}
-    report = F.broadcast(targets.where("source is not null")).join(per, "source", "left").crossJoin(everything).withColumns(zero)
+    report = F.broadcast(targets).join(per, "source", "left").crossJoin(everything).withColumns(zero)
     report = report.select("source", "weight", "max_repeat", "n_docs", "source_tokens", "n_copies", "n_tokens", F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"), F.when(F.col("source_tokens") > 0, F.col("n_tokens") / F.col("source_tokens")).alias("mean_repeat"), "most_repeat")
     return selection, report

@@ -129,4 +129,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p1_statistics, p2_found, p2_repaired, p3_found, p3_repaired, p4_found, p4_canonical_form, p5_found, p5_pieces, p6_found, p6_sentences_all, p7_ids, p8_mix, p8_shares, p9_found, p9_languages)
 }
 
-ORACLE: dict[str, str] = {}
+
+
+def _unicode(points) -> str:
+    """Characters as an SQL string."""
+    return "(" + " || ".join(f"chr({p})" for p in points) + ")"
+
+
+def _look_sql(column: str) -> str:
+    """A plain skeleton of a column: two texts look the same if their skeletons are equal.
+
+    Unlike the operator it folds every look-alike to Latin, whatever the word's alphabet.
+    """
+    t = f"nfc_normalize(coalesce({column}, ''))"
+    t = f"regexp_replace({t}, '[\\x{{00ad}}\\x{{034f}}\\x{{061c}}\\x{{115f}}\\x{{1160}}\\x{{17b4}}\\x{{17b5}}\\x{{180b}}-\\x{{180e}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{206f}}\\x{{3164}}\\x{{fe00}}-\\x{{fe0f}}\\x{{feff}}\\x{{ffa0}}]', '', 'g')"
+    for a, b in ((0xFB00, "ff"), (0xFB01, "fi"), (0xFB02, "fl"), (0xFB03, "ffi"), (0xFB04, "ffl"), (0xFB05, "st"), (0xFB06, "st")):
+        t = f"replace({t}, chr({a}), '{b}')"
+    alike = {k: v for k, v in (p4_canonical.CYRILLIC | p4_canonical.GREEK).items() if k != v}
+    wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    blank = {c: " " for c in map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000))}
+    to = alike | wide | blank | {c: "-" for c in p4_canonical.HYPHENS}
+    pairs = [(ord(a), ord(b)) for a, b in to.items() if ord(b) < 0x250]
+    t = f"translate({t}, {_unicode(a for a, _ in pairs)}, {_unicode(b for _, b in pairs)})"
+    return f"regexp_replace(nfc_normalize({t}), '[ \\t\\r]+(\\n|$)', '\\1', 'g')"
+
+
+ORACLE: dict[str, str] = {
+    "p4_found": f"WITH k AS (SELECT chapter_id, coalesce(title, '') AS t, text, {_look_sql('title')} AS lt, {_look_sql('text')} AS lx FROM chapter WHERE text <> '')"
+    " SELECT a.chapter_id AS chapter_id_a, b.chapter_id AS chapter_id_b FROM k a JOIN k b ON a.lt = b.lt AND a.lx = b.lx AND a.chapter_id < b.chapter_id WHERE a.t <> b.t OR a.text <> b.text",
+    "p5_found": "SELECT chapter_id, 'cut' AS need FROM chapter WHERE length(text) > 1000 UNION ALL SELECT chapter_id, 'hard' FROM chapter WHERE list_max(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: length(x))) > 1000",
+}
