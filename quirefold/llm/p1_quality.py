@@ -109,7 +109,7 @@ def line_symbols(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.n
     for border in (COMMA, SEMI):
         at = np.flatnonzero(cls == border)
         after = cls[np.minimum(at + 1, len(cp) - 1)]
-        cls[at[(after == SPACE) | (after == NEWLINE)]] = DASH
+        cls[at[after == SPACE]] = DASH
     line = (np.cumsum(np.bincount(starts, minlength=len(cp))[: len(cp)]) - 1).astype(np.int32)
     count = np.bincount(np.maximum(line, 0) * np.int64(N_CLASSES) + cls, minlength=n * N_CLASSES).reshape(n, N_CLASSES)
     count[:, NEWLINE] = 0
@@ -223,7 +223,7 @@ def line_symbols(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.n
     sym[repeat & ~cells & ~leader] = REPEAT
     # one long run of letters or digits between the lines weighs as a short line
     weight = solid.astype(float)
-    long_run = (words <= 2) & (solid >= LONG_RUN) & (letters + digits + count[:, MARK] >= 0.98 * solid)
+    long_run = (words <= 2) & (solid >= LONG_RUN) & (letters + digits + count[:, MARK] >= 0.8 * solid)
     alone = np.bincount(doc, weights=long_run, minlength=int(doc[-1]) + 1 if n else 1)
     lines_of = np.bincount(doc, minlength=int(doc[-1]) + 1 if n else 1)
     excused = long_run & (alone[doc] * 3 <= lines_of[doc]) if n else long_run
