@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import LINE_END, WS
+from .patterns import LINE_END, SPACES, WS
 
 
 def _col(c: Column | str) -> Column:
@@ -21,7 +21,7 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(_col(c), rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def dehyphenate(c: Column | str) -> Column:

@@ -42,17 +42,24 @@ STATES = {"PA": "Pennsylvania", "CA": "California", "NY": "New York", "TX": "Tex
 DIGITS = "0123456789"
 #: Digits that no number rule sees, while a year or version is masked.
 MASKED = "".join(chr(0xE000 + i) for i in range(10))
-YEAR = rf"{LEFT}(?:1[89][0-9]{{2}}|20[012][0-9]){RIGHT}"
+# The look ahead comes first: it turns most positions away at the least cost.
+YEAR = rf"(?=[12]){LEFT}(?:1[89][0-9]{{2}}|20[012][0-9]){RIGHT}"
 # the border of a version that ends in a full stop is a letter or digit behind it
-VERSION = rf"(?i){LEFT}v[0-9][0-9.]*(?:(?<=[0-9]){RIGHT}|(?<=\.)(?=[\p{{L}}\p{{N}}_]))"
-DECIMAL = rf"{LEFT}([0-9]+)\.([0-9]+){RIGHT}"
-ORDINAL = rf"(?i){LEFT}[0-9]+(?:st|nd|rd|th){RIGHT}"
-INTEGER = rf"{LEFT}[0-9]{{1,9}}{RIGHT}"
+VERSION = rf"(?i)(?=v[0-9]){LEFT}v[0-9][0-9.]*(?:(?<=[0-9]){RIGHT}|(?<=\.)(?=[\p{{L}}\p{{N}}_]))"
+DECIMAL = rf"(?=[0-9]){LEFT}([0-9]+)\.([0-9]+){RIGHT}"
+ORDINAL = rf"(?i)(?=[0-9]){LEFT}[0-9]+(?:st|nd|rd|th){RIGHT}"
+INTEGER = rf"(?=[0-9]){LEFT}[0-9]{{1,9}}{RIGHT}"
 
 
 def expand_abbreviations(c: Column | str) -> Column:
-    rules = [(LEFT + a.replace(".", r"\."), b) for a, b in ABBREVIATIONS.items()] + [(LEFT + a + RIGHT, b) for a, b in STATES.items()]
-    return reduce(lambda t, r: F.regexp_replace(t, *r), rules, _col(c))
+    # the letters come first, the look behind after them: few positions get that far; texts without them are passed over
+    quoted = {a: (rf"{p}(?<![\p{{L}}\p{{N}}_]{p})", b) for a, b in ABBREVIATIONS.items() for p in (a.replace(".", r"\."),)}
+    rules = quoted | {a: (rf"{a}(?<![\p{{L}}\p{{N}}_]{a}){RIGHT}", b) for a, b in STATES.items()}
+
+    def step(t: Column, item: tuple[str, tuple[str, str]]) -> Column:
+        return let(t, lambda x: F.when(x.contains(item[0]), F.regexp_replace(x, *item[1])).otherwise(x))
+
+    return reduce(step, rules.items(), _col(c))
 
 
 def replace_matches(c: Column, pattern: str, of: Callable[[Column], Column]) -> Column:
@@ -61,7 +68,8 @@ def replace_matches(c: Column, pattern: str, of: Callable[[Column], Column]) ->
 
     def put(t: Column) -> Column:
         between, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(of(b), b, F.lit("")))), "")
+        put_in = F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(of(b), b, F.lit("")))), "")
+        return F.when(t.rlike(pattern), put_in).otherwise(t)
 
     return let(c, put)
 
@@ -77,7 +85,7 @@ def protect(c: Column | str) -> Column:
 
 def unprotect(c: Column) -> Column:
     """protect() undone."""
-    return F.translate(F.regexp_replace(c, rf"_([vV]?[{MASKED}][{MASKED}.]*)_", "$1"), MASKED, DIGITS)
+    return let(c, lambda t: F.when(t.contains("_"), F.translate(F.regexp_replace(t, rf"_([vV]?[{MASKED}][{MASKED}.]*)_", "$1"), MASKED, DIGITS)).otherwise(t))
 
 
 def convert_numbers(c: Column | str) -> Column:
