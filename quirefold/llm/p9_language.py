@@ -184,7 +184,8 @@ def sample(documents: DataFrame, key: str = "doc_id") -> list[tuple[str, str]]:
     """At most SAMPLE_DOCS documents of each two-letter label, by hash, cut to SAMPLE_CHARS: the bounded fitting sample."""
     head = F.lower(F.regexp_extract(F.trim("lang"), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
     rows = documents.where("lang is not null and text is not null and length(text) > 200").select(head.alias("head"), F.xxhash64(key).alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    top = rows.where("head <> ''").withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
+    # only codes of the fixed list, so that the sample is bounded whatever the labels hold
+    top = rows.where(F.col("head").isin(*sorted({*CODES, *CODES.values()}))).withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
     return [(r["head"], r["text"]) for r in top.orderBy("head", "r").collect()]
 
 
