@@ -53,6 +53,11 @@ def words(text: str) -> list[str]:
     return TOKEN.findall(text.lower().replace("‐", "-"))
 
 
+def inside(w: str) -> bool:
+    """Whether a part of the word has a digit or stroke in it, however often it is read so."""
+    return any(map(INSIDE.fullmatch, w.split("-")))
+
+
 def number_of(s: str) -> set[int]:
     """What a printed number may mean: as digits, misread ones put right, and as a Roman numeral."""
     out = set()
@@ -159,11 +164,16 @@ def page_lines(lines: list[str], first: int | None, last: int | None) -> tuple[s
     return sure, {i: s for i, s in maybe.items() if i not in sure}, outer
 
 
-def broken_lines(lines: list[str], skip: set[int], known) -> tuple[dict[int, int], list[tuple[int, str, str]], dict[int, tuple[int, str, str]]]:
-    """Lines whose last word goes on ({line: next line}); those that only the counts can judge, with the joined word and the compound; and the joined words."""
+def broken_lines(lines: list[str], skip: set[int], known, counts=None, wanted: set[str] | None = None) -> tuple[dict[int, int], dict[int, tuple[int, str, str]]]:
+    """Lines whose last word goes on ({line: next line}), and the joined words.
+
+    `counts` are those of all words that the lexicon `known` lacks and a hyphen asks for; `wanted`,
+    if given, gets these words.
+    """
     broken: dict[int, int] = {}
-    ask: list[tuple[int, str, str]] = []
     joined: dict[int, tuple[int, str, str]] = {}
+    counts = counts or {}
+    n = lambda w: known.get(w) or counts.get(w, 0)
     for i, x in enumerate(lines):
         if i in skip:
             continue
@@ -186,58 +196,75 @@ def broken_lines(lines: list[str], skip: set[int], known) -> tuple[dict[int, int
             continue
         r0 = right[1]
         a, b = left[0].lower().replace("‐", "-"), r0.lower().replace("‐", "-")
+        whole, compound = a + b, f"{a}-{b}"
+        # with one of the two in the lexicon, the other is rarer
+        ask = wanted is not None and whole not in known and compound not in known
+        if ask:
+            wanted.add(whole)
         if m[1] not in SOFT:
             if r0[0].isupper() and not left[0].isupper():
                 continue
-            whole, compound = a + b, f"{a}-{b}"
-            kw, kc = known.get(whole, 0), known.get(compound, 0)
-            if kw or kc:
+            # another form of a compound (its genitive, say)?
+            stems = [re.sub(r"['’]\w*\Z", "", w) for w in (whole, compound)]
+            if ask:
+                wanted.update((compound, a, b, *stems))
+            kw, kc = n(whole), n(compound)
+            if max(kw, kc) >= FREQUENT:
                 if kc > kw:
                     continue
-            elif a in known and b in known and len(a) > 3 and len(b) > 3:
-                ask.append((i, whole, compound))
-                continue
-            else:
-                # parts that the lexicon lacks: another form of a compound (its genitive, say)?
-                stem = re.sub(r"['’]\w*\Z", "", compound)
-                if known.get(stem, 0) > known.get(re.sub(r"['’]\w*\Z", "", whole), 0):
+            elif len(a) > 3 and len(b) > 3 and n(a) >= FREQUENT and n(b) >= FREQUENT:
+                if kc >= kw:
                     continue
+            elif kc > kw or n(stems[1]) > n(stems[0]):
+                continue
         broken[i] = j
         joined[i] = (j, a, b)
-    return broken, ask, joined
+    return broken, joined
 
 
 ITEM = T.StructType(
-    [T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("alt", T.StringType()), T.StructField("cut", T.IntegerType()), T.StructField("next_no", T.IntegerType())]
+    [T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("cut", T.IntegerType()), T.StructField("next_no", T.IntegerType())]
 )
 CONFUSED = tuple(sorted({a for a, _ in CONFUSIONS}))
 
 
-def findings(text: str | None, first: int | None, last: int | None, known: dict[str, int]) -> list[tuple]:
-    """Rows of ITEM for one text: furniture, broken and misread for certain; head, hyphen and word for the joins to judge."""
+def findings(text: str | None, first: int | None, last: int | None, known: dict[str, int], own: list | None = None) -> list[tuple]:
+    """Rows of ITEM for one text: furniture, broken and misread for certain; head and word for the joins to judge.
+
+    A text of which a hyphen, or whether a line is language, can't be judged by the lexicon gives
+    only the words it asks for. With their counts, `own` (word, count, whether it is no misread
+    one), it gives its findings, and any other text nothing.
+    """
     if not text or "\n" not in text:
         return []
     lines = text.split("\n")
     if not is_wrapped(lines):
         return []
+    counts = {r["key"]: r["n"] for r in own or ()}
+    rare = {r["key"] for r in own or () if r["good"] and r["n"] >= FREQUENT and len(r["key"]) <= LONGEST and not inside(r["key"])}
     sure, maybe, outer = page_lines(lines, first, last)
-    out: list[tuple] = [(i + 1, "furniture", None, None, None, None) for i in sorted(sure)]
-    out += [(i + 1, "head", s.strip("[] "), None, int(i in outer), None) for i, s in maybe.items()]
-    broken, ask, joined = broken_lines(lines, sure | set(maybe), known)
+    asked: set[str] = set()
+    broken, joined = broken_lines(lines, sure | set(maybe), known, counts, asked)
     # a candidate that is a text line after all may itself be broken
-    more, ask2, joined2 = broken_lines(lines, sure, known)
+    more, joined2 = broken_lines(lines, sure, known, counts, asked)
+    tokens = [words(x) if i not in sure else [] for i, x in enumerate(lines)]
+    for found in tokens:
+        if 2 * sum(w in known for w in found) <= len(found):
+            asked.update(w for w in found if w not in known and len(w) <= LONGEST)
+    if asked and own is None:
+        return [(0, "ask", w, None, None) for w in asked]
+    if not asked and own is not None:
+        return []
+    out: list[tuple] = [(i + 1, "furniture", None, None, None) for i in sorted(sure)]
+    out += [(i + 1, "head", s.strip("[] "), int(i in outer), None) for i, s in maybe.items()]
     for i, j in more.items():
-        if i in maybe or i not in broken and (j not in maybe or i in joined2 and known.get(joined2[i][1] + joined2[i][2])):
+        if i in maybe or i not in broken and (j not in maybe or i in joined2 and (known.get(w := joined2[i][1] + joined2[i][2]) or counts.get(w))):
             broken[i] = j
             if i in joined2:
                 joined[i] = joined2[i]
-    out += [(i + 1, "broken", None, None, None, None) for i in sorted(broken)]
-    out += [(i + 1, "hyphen", a, b, None, None) for i, a, b in {x[0]: x for x in (*ask, *ask2)}.values() if i not in broken]
+    out += [(i + 1, "broken", None, None, None) for i in sorted(broken)]
     heads: set[int] = set()
-    for i, x in enumerate(lines):
-        if i in sure:
-            continue
-        found = words(x)
+    for i, found in enumerate(tokens):
         if not found:
             continue
         if i in joined and found[-1] == joined[i][1]:
@@ -245,25 +272,23 @@ def findings(text: str | None, first: int | None, last: int | None, known: dict[
             j, a, b = joined[i]
             w = a + b
             heads.add(j)
-            if w not in known:
+            if w not in known and w not in rare:
                 for side, y in ((i, a), (j, b)):
                     if INSIDE.fullmatch(y) and not y[0].isdigit():
-                        out.append((side + 1, "misread", y, None, None, None))
-                out.append((i + 1, "word", w, None, len(a), j + 1))
+                        out.append((side + 1, "misread", y, None, None))
+                whole = inside(w) and any(map(str.isalpha, a)) and any(map(str.isalpha, b))
+                out.append((i + 1, "misread" if whole else "word", w, len(a), j + 1))
         start = 1 if i in heads else 0
         # lines of no known words are no language; of a word or two, only the join with the frequent words can tell
-        legible = 2 * sum(w in known for w in found) >= len(found)
+        legible = 2 * sum(w in known or w in rare for w in found) >= len(found)
         few = len(found) < 3
         for w in found[start:]:
-            if w in known or len(w) < 3 or len(w) > LONGEST or not legible and not few:
+            if w in known or w in rare or len(w) < 3 or len(w) > LONGEST or not legible and not few:
                 continue
-            for p in w.split("-") if "-" in w else (w,):
-                if legible and INSIDE.fullmatch(p):
-                    out.append((i + 1, "misread", w, None, None, None))
-                    break
-            else:
-                if any(c in w for c in CONFUSED):
-                    out.append((i + 1, "word", w, None, None, None))
+            if legible and inside(w):
+                out.append((i + 1, "misread", w, None, None))
+            elif any(c in w for c in CONFUSED):
+                out.append((i + 1, "word", w, None, None))
     return out
 
 
@@ -299,22 +324,23 @@ def scan_findings(chapters: DataFrame, books: DataFrame, lexicon: int = LEXICON)
     chapters: chapter_id, book_id, text, page_start, page_end; books: book_id, title, author. Null,
     empty and unpaged texts give no row; each repeated chapter gives its own. Lines count from 1.
     The `lexicon` most frequent words that are no misread ones go to every task; any other word
-    and hyphen is judged by a join with the counts.
+    and hyphen is judged by a join with the counts. A word with a digit or stroke inside is never
+    taken for a true one, however often it occurs: counts grow with the corpus.
     """
     counts = checkpointed(count_tokens(chapters, "text", words))
     fixes = checkpointed(corrections(counts))
     good = counts.join(fixes, counts["key"] == fixes["word"], "left_anti").where(F.length("key") <= LONGEST)
-    known = {r["key"]: r["n"] for r in good.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(lexicon).collect()}
+    known = {r["key"]: r["n"] for r in good.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(lexicon).collect() if not inside(r["key"])}
     shared = chapters.sparkSession.sparkContext.broadcast(known)
     schema = T.StructType([chapters.schema["chapter_id"], chapters.schema["book_id"], *ITEM])
 
     def make():
         lexicon_ = shared.value
 
-        def of(ids, books_, texts, firsts, lasts):
+        def of(ids, books_, texts, firsts, lasts, owns):
             out = {f.name: [] for f in schema}
-            for i, b, t, p, q in zip(ids, books_, texts, firsts, lasts, strict=True):
-                for row in findings(t, p, q, lexicon_):
+            for i, b, t, p, q, own in zip(ids, books_, texts, firsts, lasts, owns, strict=True):
+                for row in findings(t, p, q, lexicon_, own):
                     for f, v in zip(out, (i, b, *row), strict=True):
                         out[f].append(v)
             return out
@@ -322,7 +348,16 @@ def scan_findings(chapters: DataFrame, books: DataFrame, lexicon: int = LEXICON)
         return of
 
     cast = chapters.select("chapter_id", "book_id", F.col("text").cast("string"), F.col("page_start").cast("int"), F.col("page_end").cast("int"))
-    items = checkpointed(map_columns(cast, cast.columns, schema, make))
+    cast = cast.where(F.instr("text", "\n") > 0)
+    cast = cast.withColumn("own", F.lit(None).cast("array<struct<key:string,n:bigint,good:boolean>>"))
+    once = checkpointed(map_columns(cast, cast.columns, schema, make))
+    # texts whose hyphens and lines the lexicon can't judge are read again with the counts of their words
+    wanted = once.where("kind = 'ask'").select(F.col("chapter_id").alias("__id"), "key").distinct()
+    judged = wanted.join(counts, "key", "left").join(fixes.select(F.col("word").alias("key"), F.lit(False).alias("good")), "key", "left")
+    entry = F.when(F.col("n").isNotNull(), F.struct("key", "n", F.coalesce("good", F.lit(True)).alias("good")))
+    own = judged.groupBy("__id").agg(F.collect_list(entry).alias("own"))
+    asking = cast.drop("own").join(own, F.col("chapter_id").eqNullSafe(F.col("__id"))).drop("__id")
+    items = checkpointed(once.where("kind <> 'ask'").unionAll(map_columns(asking, asking.columns, schema, make)))
 
     # running heads: the title or the author, but for misread characters
     names = books.select("book_id", F.explode(F.array("title", "author")).alias("name")).where("name is not null").withColumn("name_key", key_column(F.col("name"))).where(F.length("name_key") > 2)
@@ -339,16 +374,12 @@ def scan_findings(chapters: DataFrame, books: DataFrame, lexicon: int = LEXICON)
     marks = marks.unionAll(head.where("cut = 1").join(again, ["book_id", "head_key"], "left_semi").select("chapter_id", "line_no"))
     furniture = items.where("kind = 'furniture'").select("chapter_id", "line_no").unionAll(heads).unionAll(marks).distinct()
 
-    # hyphens that the lexicon can't judge
-    ask = items.where("kind = 'hyphen'").select("chapter_id", "line_no", "key", "alt")
-    n = counts.select(F.col("key").alias("w"), "n")
-    judged = ask.join(n.withColumnsRenamed({"w": "key", "n": "n_whole"}), "key", "left").join(n.withColumnsRenamed({"w": "alt", "n": "n_parts"}), "alt", "left")
-    broken = items.where("kind = 'broken'").select("chapter_id", "line_no").unionAll(judged.where("coalesce(n_whole, 0) > coalesce(n_parts, 0)").select("chapter_id", "line_no"))
+    broken = items.where("kind = 'broken'").select("chapter_id", "line_no")
 
-    sure = items.where("kind = 'misread'").select("chapter_id", "line_no", F.col("key").alias("word"))
-    asked = items.where("kind = 'word'").select("chapter_id", "line_no", F.col("key").alias("word"), "cut", "next_no").join(fixes, "word")
-    asked = asked.select("chapter_id", F.when(F.col("place") >= F.col("cut"), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), "word", "fix")
-    misread = asked.unionAll(sure.join(fixes, "word", "left").select("chapter_id", "line_no", "word", "fix"))
+    # of a word broken over two lines, the line that holds the misread character
+    asked = items.where("kind in ('misread', 'word')").withColumnRenamed("key", "word").join(fixes, "word", "left").where("kind = 'misread' or fix is not null")
+    place = F.coalesce("place", F.regexp_instr("word", F.lit("[0-9|!]")) - 1)
+    misread = asked.select("chapter_id", F.when(place >= F.col("cut"), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), "word", "fix")
     found = (
         broken.withColumn("kind", F.lit("broken"))
         .unionAll(misread.select("chapter_id", "line_no", F.lit("misread").alias("kind")))

@@ -114,6 +114,31 @@ def test_p2_lines(spark):
     assert "first frost and nobody" in text and "a miller too and" in text and "old-fashioned way" in text and "the miller went to sleep." in text and "Silver Lamp" not in text
 
 
+WRAPPED = ["It was late when he came back from the market with the", "letter that his daughter had been waiting for since the", "winter and nobody asked him why he had done so in the", "fashion of his father, who had been a miller too and had", "built the house beside the river with his own hands and", "nothing more."]
+
+
+def test_p2_does_not_depend_on_size_or_lexicon(spark):
+    lines = [*WRAPPED[:3], "house of u1mé and the miller and the old man who had been", *WRAPPED[3:5], "built the house near the rnill-", "pond and nothing more."]
+    schema = "chapter_id long, book_id long, text string, page_start int, page_end int"
+    got = []
+    for times in (1, 10):
+        plain = " ".join(["\n".join(WRAPPED), "ulmé " * 10, "millpond " * 20, "rnillpond "]) * times
+        rows = [(i, i, "\n".join(lines), None, None) for i in range(times)] + [(-1, -1, plain.replace("\n", " "), None, None)]
+        for lexicon in (p2.LEXICON, 1):
+            found, _ = p2.scan_findings(spark.createDataFrame(rows, schema), books(spark), lexicon)
+            got.append(sorted((r["line_no"], r["kind"]) for r in found.where("chapter_id = 0").collect()))
+    # at ten times the rows, u1mé is no rare word; the joined word of line 7 needs the join
+    assert all(g == [(4, "misread"), (7, "broken"), (7, "misread")] for g in got), got
+
+
+def test_p2_compound_beyond_the_lexicon(spark):
+    lines = [*WRAPPED[:4], "built the house beside the river with a zilver-", "quont and nothing more, and the miller too had been the", *WRAPPED[3:]]
+    rows = [(1, 1, "\n".join(lines), None, None), (2, 1, " ".join([*WRAPPED * 3, "zilver-quont " * 5]), None, None)]
+    for lexicon in (p2.LEXICON, 3):
+        found, _ = p2.scan_findings(spark.createDataFrame(rows, "chapter_id long, book_id long, text string, page_start int, page_end int"), books(spark), lexicon)
+        assert found.where("kind = 'broken'").count() == 0, lexicon
+
+
 def test_p2_anagram_hash(spark):
     words = ["lamp", "palm", "ri", "n", "größe"]
     got = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(p2.anagram_hash(F.col("w"))).collect()]
