@@ -22,13 +22,8 @@ PASS_CHARS = 1 << 20
 
 @functools.cache
 def table(name: str, of: Callable[[str], int]) -> np.ndarray:
-    """of() of every code point, as an array to index with code points.
-
-    Above the first plane of Unicode one character of each block of 256 stands for its block.
-    """
-    low = np.fromiter((of(chr(c)) for c in range(0x10000)), np.uint8, 0x10000)
-    high = np.fromiter((of(chr(c + 1)) for c in range(0x10000, sys.maxunicode + 1, 256)), np.uint8)
-    return np.concatenate([low, np.repeat(high, 256)])
+    """of() of every code point, as an array to index with code points; made once in each worker."""
+    return np.fromiter(map(of, map(chr, range(sys.maxunicode + 1))), np.uint8, sys.maxunicode + 1)
 
 
 @functools.cache

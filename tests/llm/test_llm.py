@@ -378,6 +378,14 @@ def test_p7_against_the_library(encoder):
     assert ids == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_p7_classes_of_every_character():
+    cls = p7._classes()
+    want = {"L": p7.LETTER, "N": p7.NUMBER}
+    assert all(cls[c] == want.get(unicodedata.category(chr(c))[0], p7.OTHER) for c in range(0x10000, 0x110000))
+    cp = p7.points("🇩🇪's")
+    assert p7.slice_starts(cp, [0]).tolist() == [0, 3]
+
+
 def test_p7_round_trip_by_offsets(encoder):
     back = {v: k for k, v in encoder.ranks.items()}
     for t in [*CLEAN, PROSE, "a\n\n b's"]:
