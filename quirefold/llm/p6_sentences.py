@@ -39,8 +39,6 @@ BEFORE_ORDINAL = {"am", "dem", "der", "den", "vom", "zum", "im", "des", "das", "
 LINE = re.compile("[^\\n\\r\\x0b\\x0c\\u2028\\u2029]+")
 #: What the automaton must look at; everything else passes.
 EVENT = re.compile("[" + re.escape(STOP + "".join(OPEN) + "".join(LOW) + "".join(CLOSE) + "\"'‘" + "“") + "]")
-#: A mark that may be an apostrophe or close and open alike opens only if its end lies within reach.
-REACH = 2000
 QUOTED = re.compile(r"[.!?,]'(?:\s|$)")
 WORD_BEFORE = re.compile(r"[^\s\"“”„«»‹›()\[\]{}—–/]+\Z")
 DASH = "-–—―"
@@ -109,17 +107,24 @@ def line_ends(line: str) -> list[int]:
 
     Marks that open and never close open nothing: the line is read again without them.
     """
+    last = _last_marks(line)
     ignored: set[int] = set()
-    for turn in range(4):
-        ends, unclosed = _read(line, ignored if turn < 3 else None)
+    while True:
+        ends, unclosed = _read(line, ignored, last)
         if not unclosed:
-            break
+            return ends
         ignored |= unclosed
-    return ends
 
 
-def _read(line: str, ignored: set[int] | None) -> tuple[list[int], set[int]]:
-    """The ends, and the positions of marks that stayed open; with ignored = None no mark opens anything."""
+def _last_marks(line: str) -> dict[str, int]:
+    """Where the last of each mark that may close stands; of ' the last that ends a quotation."""
+    last = {c: line.rfind(c) for c in "\"”’"}
+    last["'"] = max((m.start() + 1 for m in QUOTED.finditer(line)), default=-1) if "'" in line else -1
+    return last
+
+
+def _read(line: str, ignored: set[int], last: dict[str, int]) -> tuple[list[int], set[int]]:
+    """The ends, and the positions of marks that stayed open."""
     n = len(line.rstrip())
     if not n:
         return [], set()
@@ -133,8 +138,8 @@ def _read(line: str, ignored: set[int] | None) -> tuple[list[int], set[int]]:
             continue
         c = line[i]
         if c not in STOP:
-            if ignored is not None and i not in ignored:
-                _quote(line, i, c, stack)
+            if i not in ignored:
+                _quote(line, i, c, stack, last)
             continue
         # the run of terminators, then what it closes
         j = i + 1
@@ -232,7 +237,7 @@ def _no_stop(line: str, dot: int, t: int, after: str) -> bool:
     return False
 
 
-def _quote(line: str, i: int, c: str, stack: list) -> None:
+def _quote(line: str, i: int, c: str, stack: list, last: dict[str, int]) -> None:
     if stack and c in stack[-1][0] and not (c in "’'" and i + 1 < len(line) and line[i + 1].isalpha()):
         stack.pop()
         return
@@ -243,13 +248,13 @@ def _quote(line: str, i: int, c: str, stack: list) -> None:
     elif c in OPEN:
         # a closing mark in some languages; a » that opens is rare and left alone
         stack.append((OPEN[c], i, colon))
-    elif c == '"' and opening and line.find('"', i + 1, i + REACH) > 0:
+    elif c == '"' and opening and last[c] > i:
         stack.append(('"', i, colon))
-    elif c == "”" and opening and not any("”" in s[0] for s in stack) and line.find("”", i + 1, i + REACH) > 0 and i + 1 < len(line) and not line[i + 1].isspace():
+    elif c == "”" and opening and not any("”" in s[0] for s in stack) and last[c] > i and i + 1 < len(line) and not line[i + 1].isspace():
         stack.append(("”", i, colon))
-    elif c == "‘" and opening and line.find("’", i + 1, i + REACH) > 0:
+    elif c == "‘" and opening and last["’"] > i:
         stack.append(("’", i, colon))
-    elif c == "'" and opening and i + 1 < len(line) and line[i + 1].isalpha() and QUOTED.search(line, i + 1, i + REACH):
+    elif c == "'" and opening and i + 1 < len(line) and line[i + 1].isalpha() and last[c] > i + 1:
         stack.append(("'", i, colon))
 
 

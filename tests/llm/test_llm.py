@@ -350,6 +350,16 @@ def test_p6_lines_and_blanks():
     assert p6.sentence_ends("An “open quote. It never closes. Yes.") == [15, 32, 37]
 
 
+def test_p6_long_quotations_and_unclosed_marks():
+    inner = "He said nothing at all. " * 200
+    for q in ('"', "'"):
+        t = f"{q}{inner.strip()}{q} she read. Then {q}it ended.{q} Yes."
+        assert len(p6.sentence_ends(t)) == 3, q
+    # unclosed marks of several turns leave the closed quotation alone
+    t = "She said “one. Two” here. " + "( [ " * 50 + "Then. Now."
+    assert p6.sentence_ends(t)[0] == 25 and p6.sentence_ends(t)[-2:] == [len(t) - 5, len(t)]
+
+
 def test_p6_awkward(spark, awkward, nothing):
     got = p6.sentences(awkward)
     assert got.where("sentence_no is null or sent_end < sent_start").count() == 0
