@@ -1,7 +1,7 @@
 """Sentences of texts in any language and script, as offsets.
 
 A pushdown automaton reads each line: its stack holds the quotation marks and brackets that are
-open. A terminator ends a sentence only if the stack is empty after the closing marks that follow
+open, and over the lines the list levels, so that an item's marker ends no sentence. A terminator ends a sentence only if the stack is empty after the closing marks that follow
 it, if no abbreviation, initial, ordinal or decimal explains the full stop, and if what follows can
 begin a sentence (in scripts with letter case: no small letter, also behind a dash).
 """
@@ -39,11 +39,16 @@ BEFORE_ORDINAL = {"am", "dem", "der", "den", "vom", "zum", "im", "des", "das", "
 LINE = re.compile("[^\\n\\r\\x0b\\x0c\\u2028\\u2029]+")
 #: What the automaton must look at; everything else passes.
 EVENT = re.compile("[" + re.escape(STOP + "".join(OPEN) + "".join(LOW) + "".join(CLOSE) + "\"'‘" + "“") + "]")
+#: What a list item begins with, and the Roman numerals that count items.
+MARKER = re.compile(r"((?:\d{1,3}\.)*\d{1,3}|[A-Za-z]|[IVX]{2,7}|[ivx]{2,7})[.)](?=\s+\S)", re.A)
+ROMAN = re.compile(r"x{0,3}(?:ix|iv|v?i{0,3})")
 QUOTED = re.compile(r"[.!?,]'(?:\s|$)")
 WORD_BEFORE = re.compile(r"[^\s\"“”„«»‹›()\[\]{}—–/]+\Z")
 DASH = "-–—―"
 #: Blanks inside an abbreviation or before a closing mark.
 BLANKS = " \u00a0\u2009\u202f"
+#: Last characters of a line behind which a list may begin with any number.
+ENDED = frozenset(STOP + ":;：；" + "".join(CLOSE) + "\"'")
 
 
 @functools.cache
@@ -102,15 +107,52 @@ def _dash_follows(line: str, at: int) -> bool:
     return at < len(line) and line[at] in DASH
 
 
-def line_ends(line: str) -> list[int]:
-    """Ends (exclusive) of the sentences of one line, without blanks behind them.
+def _ordinals(marker: str) -> list[tuple[str, int]]:
+    """What a list marker may count: (kind of numbering, place in it)."""
+    if marker[-1].isdigit():
+        head, _, tail = marker.rpartition(".")
+        return [(f"{head}.1", int(tail))]
+    case = "I" if marker.isupper() else "i"
+    out = [("A" if case == "I" else "a", ord(marker.lower()) - 96)] if len(marker) == 1 else []
+    if ROMAN.fullmatch(marker.lower()):
+        v = [{"i": 1, "v": 5, "x": 10}[c] for c in marker.lower()]
+        out.append((case, sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0], strict=True))))
+    return out
+
+
+def list_marker(line: str, levels: list[list], free: bool) -> int:
+    """Length of the list marker that the line begins with, 0 if there is none; `levels` are brought up to date.
+
+    A marker goes on with a level that is open (the levels within it close), or opens one: the first of
+    its numbering anywhere. Any other number does so only where the line is `free`: the text before it is at an
+    end, or an item.
+    """
+    m = MARKER.match(line)
+    if not m:
+        return 0
+    ways = _ordinals(m[1])
+    for depth in range(len(levels) - 1, -1, -1):
+        for kind, n in ways:
+            if levels[depth][0] == kind and (n == levels[depth][1] + 1 or free and n > levels[depth][1]):
+                del levels[depth + 1 :]
+                levels[depth][1] = n
+                return m.end(1) + 1
+    for kind, n in sorted(ways, key=lambda x: x[1]):
+        if n == 1 or free:
+            levels.append([kind, n])
+            return m.end(1) + 1
+    return 0
+
+
+def line_ends(line: str, marker: int = 0) -> list[int]:
+    """Ends (exclusive) of the sentences of one line, without blanks behind them; a list marker of so many characters ends none.
 
     Marks that open and never close open nothing: the line is read again without them.
     """
     last = _last_marks(line)
     ignored: set[int] = set()
     while True:
-        ends, unclosed = _read(line, ignored, last)
+        ends, unclosed = _read(line, ignored, last, marker)
         if not unclosed:
             return ends
         ignored |= unclosed
@@ -123,7 +165,7 @@ def _last_marks(line: str) -> dict[str, int]:
     return last
 
 
-def _read(line: str, ignored: set[int], last: dict[str, int]) -> tuple[list[int], set[int]]:
+def _read(line: str, ignored: set[int], last: dict[str, int], marker: int = 0) -> tuple[list[int], set[int]]:
     """The ends, and the positions of marks that stayed open."""
     n = len(line.rstrip())
     if not n:
@@ -131,7 +173,7 @@ def _read(line: str, ignored: set[int], last: dict[str, int]) -> tuple[list[int]
     ends: list[int] = []
     stack: list[tuple[str, int, bool]] = []  # what closes it, where it opened, whether a colon introduced it
     begin = 0  # of the running sentence
-    skip = -1
+    skip = marker
     for m in EVENT.finditer(line, 0, n):
         i = m.start()
         if i < skip:
@@ -263,12 +305,22 @@ def sentence_ends(text: str | None) -> list[int]:
     out: list[int] = []
     if not text:
         return out
+    levels: list[list] = []
+    marker = 0
+    done, before = -2, ""  # end of the last line that is not blank, and its last character
     for m in LINE.finditer(text):
         s = m.group()
         a = m.start()
         lead = len(s) - len(s.lstrip())
         body = s[lead:]
-        out += [a + lead + e for e in line_ends(body)]
+        if not body:
+            continue
+        beside = a - done <= 1 or text[done:a] == "\r\n"
+        marker = list_marker(body, levels, not beside or marker > 0 or before in ENDED)
+        if not marker and not beside:
+            levels.clear()
+        out += [a + lead + e for e in line_ends(body, marker)]
+        done, before = m.end(), s.rstrip()[-1]
     return out
 
 

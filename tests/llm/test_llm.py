@@ -360,6 +360,18 @@ def test_p6_long_quotations_and_unclosed_marks():
     assert p6.sentence_ends(t)[0] == 25 and p6.sentence_ends(t)[-2:] == [len(t) - 5, len(t)]
 
 
+def test_p6_list_levels():
+    def parts(t):
+        ends = p6.sentence_ends(t)
+        return [t[a:b].strip() for a, b in zip([0, *ends], ends)]
+
+    items = ["Contents", "1. The house", "a. The door. It is old.", "b. The gate", "2. 5 apples", "II. The river"]
+    assert parts("\n".join(items)) == [*items[:2], "a. The door.", "It is old.", *items[3:]]
+    assert parts("A list:\nII. The house\nIII. The river") == ["A list:", "II. The house", "III. The river"]
+    # a number that a wrapped line begins with is none
+    assert parts("He was on page\n12. The house was dark.") == ["He was on page", "12.", "The house was dark."]
+
+
 def test_p6_awkward(spark, awkward, nothing):
     got = p6.sentences(awkward)
     assert got.where("sentence_no is null or sent_end < sent_start").count() == 0
