@@ -407,6 +407,11 @@ def repair_scans(chapters: DataFrame, books: DataFrame) -> DataFrame:
     return map_columns(joined, ["chapter_id", "__text", "marks", "fixes"], schema, make)
 
 
+def _cased(fix: str, word: str) -> str:
+    """The fix in the letter case of the word."""
+    return fix.upper() if word.isupper() and len(word) > 1 else fix.capitalize() if word[0].isupper() else fix
+
+
 def paragraphs(text: str, marks: list[dict], fixes: list[dict]) -> str:
     """Lines of a paragraph joined; a paragraph begins behind an empty line or with an indented line."""
     if not marks and not fixes:
@@ -417,15 +422,34 @@ def paragraphs(text: str, marks: list[dict], fixes: list[dict]) -> str:
     put: dict[int, list[tuple[str, str]]] = {}
     for f in fixes:
         put.setdefault(f["line_no"], []).append((f["word"], f["fix"]))
+    lines = text.split("\n")
+    bodies = {i: x.strip() for i, x in enumerate(lines, 1) if "furniture" not in kinds.get(i, ())}
+    # a word broken over two lines is corrected as a whole: all of it goes to the first line
+    full = [i for i, x in bodies.items() if x]
+    moved: set[int] = set()
+    for i, j in zip(full, full[1:], strict=False):
+        if "broken" not in kinds.get(i, ()) or not (at := [*put.get(i, []), *put.get(j, [])]):
+            continue
+        head = bodies[i].rstrip(HYPHENS)
+        left, right = LAST_WORD.search(head), FIRST_WORD.match(bodies[j])
+        if not left or not right:
+            continue
+        word = left[0] + right[1]
+        fix = next((b for a, b in at if a == word.lower().replace("‐", "-")), None)
+        if fix:
+            # the line's mark stays: what follows in the next line is glued
+            bodies[i] = head[: left.start()] + _cased(fix, word) + bodies[i][len(head) :]
+            bodies[j] = bodies[j][right.end() :]
+            moved.add(j)
     out: list[str] = []
     glue = False
-    for i, line in enumerate(text.split("\n"), 1):
-        k = kinds.get(i, set())
-        if "furniture" in k:
-            continue
-        body = line.strip()
+    for i, body in bodies.items():
+        k, line = kinds.get(i, set()), lines[i - 1]
         for a, b in put.get(i, []):
-            body = re.sub(rf"(?<![^\W_]){re.escape(a)}(?![^\W_])", lambda m, b=b: b.upper() if m[0].isupper() and len(m[0]) > 1 else b.capitalize() if m[0][0].isupper() else b, body, flags=re.I)
+            body = re.sub(rf"(?<![^\W_]){re.escape(a)}(?![^\W_])", lambda m, b=b: _cased(b, m[0]), body, flags=re.I)
+        if not body and i in moved:
+            glue = False
+            continue
         if not body:
             if not glue:
                 out.append("")

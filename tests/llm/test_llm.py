@@ -139,6 +139,13 @@ def test_p2_compound_beyond_the_lexicon(spark):
         assert found.where("kind = 'broken'").count() == 0, lexicon
 
 
+def test_p2_broken_words_are_corrected():
+    text = "He swept the Ch1m-\n\nThe Silver Lamp\nney, and the ga-\nte5\nwere shut by a hin-\n9e and so on"
+    marks = [{"line_no": n, "kind": k} for n, k in ((1, "broken"), (3, "furniture"), (4, "broken"), (6, "broken"))]
+    fixes = [{"line_no": n, "word": a, "fix": b} for n, a, b in ((1, "ch1mney", "chimney"), (5, "gate5", "gates"), (7, "hin9e", "hinge"))]
+    assert p2.paragraphs(text, marks, fixes) == "He swept the Chimney, and the gates were shut by a hinge and so on"
+
+
 def test_p2_anagram_hash(spark):
     words = ["lamp", "palm", "ri", "n", "größe"]
     got = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(p2.anagram_hash(F.col("w"))).collect()]
