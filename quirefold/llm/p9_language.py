@@ -46,7 +46,7 @@ def label(lang: str | None) -> str | None:
 _NESTED = re.compile(r"\{\{[^{}]*\}\}|\{\|(?:(?!\{\||\|\}).)*\|\}", re.S)
 _DROP = re.compile(
     r"<!--.*?-->|<(ref|math|nowiki|gallery|pre|code|syntaxhighlight|score|timeline)\b[^<>]*(?<!/)>.*?</\1\s*>|</?[a-zA-Z][^<>]*>|<\|[^|<>]*\|>|\[(?:UNK|CLS|SEP|MASK|PAD|INST|/INST)\]"
-    r"|\[\[(?:[^\[\]|:]{2,20}):[^\[\]]*\]\]|--\s*\[\[[^\[\]]*\]\].*|\b\d\d:\d\d,?\s.*\(UTC\)|https?://\S+|'''(?:(?!''').)*'''|&[a-z]+;|[\x00-\x08\x0e-\x1f]",
+    r"|\[\[(?:[^\[\]|:]{2,20}):[^\[\]]*\]\]|--\s*\[\[[^\[\]]*\]\].*|\b\d\d:\d\d,?[^\S\n](?:(?!\d\d:\d\d)[^\n])*?\(UTC\)|https?://\S+|'''(?:(?!''').)*'''|&[a-z]+;|[\x00-\x08\x0e-\x1f]",
     re.S,
 )
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]")
@@ -54,16 +54,15 @@ _HEADING = re.compile(r"^\s*=+.*=+\s*$|^\s*[#|!{}].*$|^\s*[*:;]+", re.M)
 _SIGNED = re.compile(r"--\s*\[\[.*")
 _STOP = re.compile(r"[.!?…؟।。！？]")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters without a space that are no word, in scripts that have spaces.
+_LONG_RUN = re.compile(r"(?:(?![\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u9fff\uac00-\ud7a3])[^\W\d_]){40,}")
 
 
 def prose(text: str | None) -> list[tuple[int, str]]:
     """(paragraph number from 1, its plain text) for the paragraphs of sentences, without markup."""
     if not text:
         return []
-    for _ in range(6):
-        new = _NESTED.sub("", text) if "{" in text else text
-        if new == text:
-            break
+    while "{" in text and (new := _NESTED.sub("", text)) != text:
         text = new
     if "--" in text:
         text = _SIGNED.sub("", text)
@@ -72,7 +71,7 @@ def prose(text: str | None) -> list[tuple[int, str]]:
     text = _HEADING.sub("", text)
     out = []
     for i, p in enumerate((q for q in text.split("\n") if q.strip()), 1):
-        p = " ".join(p.split())
+        p = " ".join(_LONG_RUN.sub(" ", p).split())
         if _STOP.search(p) and is_prose(p):
             out.append((i, p))
     return out
@@ -85,7 +84,7 @@ def is_prose(p: str) -> bool:
     wide = sum("\u3040" <= c <= "\u9fff" for c in p)
     if letters * 2 < len(p.replace(" ", "")) and not any("\u0900" <= c <= "\u0dff" for c in p):
         return False
-    return wide >= 6 or len(w) >= 3 and letters >= 12 and max(map(len, w)) < 40
+    return wide >= 6 or len(w) >= 3 and letters >= 12
 
 
 class Classifier:

@@ -514,6 +514,14 @@ def test_p9_prose():
     assert p9.prose("xkcd qwrt!") == [] and p9.prose(None) == [] and p9.prose("!!!! ???? 12 34.") == []
 
 
+def test_p9_prose_keeps_what_stands_beside_markup():
+    text = "At 10:15, 3 May 2020 (UTC) the gate was open.\nNobody asked the miller why. 11:20, 3 May 2020 (UTC)"
+    assert [p for _, p in p9.prose(text)] == ["At the gate was open.", "Nobody asked the miller why."]
+    assert p9.prose("The miller opened the gate " + "x" * 45 + " before the frost.") == [(1, "The miller opened the gate before the frost.")]
+    assert p9.prose("x" * 45 + ".") == []
+    assert p9.prose("{{a|" * 9 + "It is hidden text, all of it." + "}}" * 9 + "The gate was open.") == [(1, "The gate was open.")]
+
+
 def test_p9_found(spark):
     r = random.Random(10)
     rows = []
