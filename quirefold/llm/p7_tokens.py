@@ -155,15 +155,16 @@ def vocabulary(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, the columns named in keep, ids, with offsets also starts), one row for each row of df.
+def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, offsets: bool = False, keep: tuple[str, ...] = (), count: bool = False) -> DataFrame:
+    """(key, the columns named in keep, ids, with offsets also starts), one row for each row of df; with count n_tokens instead of ids.
 
     Null and empty texts give an empty list; repeated rows each give their own. The vocabulary (under
     1 MB, of fixed size) is read on the driver and broadcast. Columns not named play no part.
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
     ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([df.schema[c] for c in (key, *keep)] + [T.StructField("ids", ints)] + [T.StructField("starts", ints)] * offsets)
+    what = [T.StructField("n_tokens", T.LongType())] if count else [T.StructField("ids", ints)] + [T.StructField("starts", ints)] * offsets
+    schema = T.StructType([df.schema[c] for c in (key, *keep)] + what)
     out = arrow_schema(schema)
     n = 1 + len(keep)
 
@@ -175,7 +176,8 @@ def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", pat
             for lo in range(0, b.num_rows, step):
                 p = b.slice(lo, step)
                 ids, places = enc.encode(p.column(n).to_pylist(), offsets)
-                cols = [p.column(i).cast(out.field(i).type) for i in range(n)] + [_lists(ids)] + [_lists(places)] * offsets
+                made = [pa.array(map(len, ids), pa.int64())] if count else [_lists(ids)] + [_lists(places)] * offsets
+                cols = [p.column(i).cast(out.field(i).type) for i in range(n)] + made
                 yield pa.RecordBatch.from_arrays(cols, schema=out)
 
     return df.select(F.col(key), *keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
@@ -187,4 +189,4 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, keep, n_tokens)."""
-    return encode_documents(df, key, text, path, keep=keep).select(key, *keep, F.size("ids").cast("long").alias("n_tokens"))
+    return encode_documents(df, key, text, path, keep=keep, count=True)

@@ -438,10 +438,33 @@ def test_p8_poisson_quantiles():
 
     c = p8.cdf(1.5, 4)
     assert c == pytest.approx([sum(math.exp(-1.5) * 1.5**j / math.factorial(j) for j in range(k + 1)) for k in range(4)])
-    n = p8.copies(np.arange(p8.STEPS), 0.7, 30)
+    u = (np.arange(8192) + 0.5) / 8192
+    n = p8.copies(u, 0.7, 30)
     assert n.mean() == pytest.approx(0.7, abs=0.01) and (n == 0).mean() == pytest.approx(math.exp(-0.7), abs=0.001)
 
 
+def test_p8_steps_hold_their_numbers(spark):
+    r = random.Random(8)
+    numbers = [r.random() for _ in range(300)] + [2.0**-k for k in range(1, 54)] + [1 - 2.0**-k for k in range(1, 54)] + [0.0, 0.5]
+    import numpy as np
+
+    got = spark.createDataFrame([(u,) for u in numbers], "u double").select("u", p8.step(F.col("u"))).collect()
+    least, largest = p8.bounds(np.array([s for _, s in got]))
+    assert all(a <= u <= b for (u, _), a, b in zip(got, least, largest, strict=True))
+
+
+@pytest.mark.parametrize(("rate", "most"), [(1e-5, 1), (3e-4, 2), (0.05, 3), (1.7, 4), (6.0, 8)])
+def test_p8_any_rate_meets_its_target(spark, monkeypatch, rate, most):
+    """A million documents of equal size: as many tokens come out as are wanted, but for one document."""
+    monkeypatch.setattr(p8, "token_counts", lambda df, key, path=None, keep=(): df.select(key, *keep, F.lit(100).cast("long").alias("n_tokens")))
+    docs = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    targets = spark.createDataFrame([("a", 1.0, most)], "source string, weight double, max_repeat int")
+    want = round(1e8 * rate)
+    _, report = p8.mix_sources(docs, targets, total=want)
+    row = report.first()
+    assert abs(row["n_tokens"] - want) <= max(100, 1e-4 * want) and row["most_repeat"] <= most
+
+
 def test_p8_shares_and_caps(spark):
     pytest.importorskip("public_tokenizers")
     r = random.Random(8)
