@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import count_tokens, map_columns, passes, points, runs
-from .p4_canonical import canonical, tables
+from .p4_canonical import canonical, changed
 
 # Fixed values: (written in, read as); the last are read wrongly twice.
 PAIRS = (
@@ -192,8 +192,7 @@ class Labeller:
         self.counts, self.total = counts, total
         self.sym = symbols()
         self.char: dict[str, int] = {}
-        t = tables()
-        self.changed = frozenset(chr(c) for c in np.flatnonzero((t["plain"] != np.arange(0x110000)) | t["second"] | t["alike"] & (t["script"] > 1)).tolist())
+        self.changed = changed()
         self.memo: dict[str, tuple] = {}
         self.steps: dict[int, float] = {}
 

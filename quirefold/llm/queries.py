@@ -69,6 +69,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_canonical.look_alikes(_read(spark, sf_dir, "chapter"))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chapter that looks like a differently stored one, with its class and its number of links."""
+    return p4_canonical.look_classes(_read(spark, sf_dir, "chapter"))
+
+
 def p4_canonical_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and text of each chapter in the one consistent form."""
     return p4_canonical.canonical_form(_read(spark, sf_dir, "chapter")).select("chapter_id", "title", "text", F.hex("look").alias("look"))
@@ -126,7 +131,7 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_statistics, p2_found, p2_repaired, p3_found, p3_repaired, p4_found, p4_canonical_form, p5_found, p5_pieces, p6_found, p6_sentences_all, p7_ids, p8_mix, p8_shares, p9_found, p9_languages)
+    for f in (p1_found, p1_statistics, p2_found, p2_repaired, p3_found, p3_repaired, p4_found, p4_classes, p4_canonical_form, p5_found, p5_pieces, p6_found, p6_sentences_all, p7_ids, p8_mix, p8_shares, p9_found, p9_languages)
 }
 
 

@@ -267,6 +267,35 @@ def test_p4_composes_as_unicode_does():
         assert p4.canonical([unicodedata.normalize("NFD", t)]) == p4.canonical([unicodedata.normalize("NFC", t)])
 
 
+def test_p4_canonical_equivalents_of_every_character():
+    """Composed, decomposed and compatibility characters, marks in any order, have one form, which does not change again."""
+    r = random.Random(6)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 10]
+    marks = [c for c in every if unicodedata.combining(c)]
+    letters = [c for c in every if unicodedata.category(c)[0] == "L"]
+    clusters = ["".join(r.choice(letters) + "".join(r.choice(marks[:80] if r.random() < 0.8 else marks) for _ in range(r.randint(0, 7))) for _ in range(3)) for _ in range(5000)]
+    clusters += ["a\u0302\u0323", "q\u0307\u0323", "\u1112\u1161\u11ab", "\u0915\u093c", "\u212b", "a" + "\u0301" * 30, "\u0301a", "\u05d0\u05b8\u05bc"]
+    for texts in (every, clusters):
+        once = p4.canonical(texts)
+        assert once == p4.canonical([unicodedata.normalize("NFC", t) for t in texts]) == p4.canonical([unicodedata.normalize("NFD", t) for t in texts])
+        assert p4.canonical(once) == once
+    assert p4.canonical(["a\u0302\u0323", "\u1112\u1161\u11ab", "\u0958", "q\u0307\u0323", "\U0001d400bc", "e\u200d\u0301", "\uff21\u0301"]) == ["\u1ead", "\ud55c", "\u0915\u093c", "q\u0323\u0307", "Abc", "\xe9", "\xc1"]
+
+
+def test_p4_more_clusters_than_are_held(monkeypatch):
+    import numpy as np
+
+    t = p4.Transducer()
+    for name in ("script", "alike"):
+        setattr(t, name, getattr(t, name)[: p4.N + 3])
+    t.out = t.out[:, : p4.N + 3]
+    monkeypatch.setattr(p4, "transducer", lambda: t)
+    texts = ["".join(c + "\u0308\u0301" for c in "abcdefgh"), "e\u0301", "и\u0306\u0301 \u0435\u0308"]
+    want = [unicodedata.normalize("NFC", x) for x in texts]
+    assert p4.canonical(texts[:1]) == want[:1] and p4.canonical(texts) == want and [p4.canonical([x])[0] for x in texts] == want
+    assert np.shape(t.out)[1] == len(t.script)
+
+
 def test_p4_pairs_against_brute_force(spark):
     rows = [(i, "T", t) for i, t in enumerate(x for ab in SAME + DIFFERENT for x in ab)]
     rows += [(i + 1000, t, x) for i, t, x in rows[:6]] + [(5000, "T", ""), (5001, "T", None), (5002, "Ｔ", rows[0][2])]
@@ -275,12 +304,25 @@ def test_p4_pairs_against_brute_force(spark):
     form = {i: (p4.canonical([t])[0], p4.canonical([x])[0]) for i, t, x in rows}
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] and b[2] and form[a[0]] == form[b[0]] and a[1:] != b[1:]}
     assert got == want and len(got) > len(SAME)
+    classes = {r["chapter_id"]: r for r in p4.look_classes(df).collect()}
+    partners = Counter(x for ab in want for x in ab)
+    assert {k: r["n_links"] for k, r in classes.items()} == dict(partners)
+    assert all((a in classes and classes[a]["class_id"] == classes[b]["class_id"]) for a, b in want)
+
+
+def test_p4_class_of_copies(spark):
+    """A class with a third of all rows: exact copies are not paired with one another."""
+    df = spark.createDataFrame([(i, "T", "café" if i % 3 else "cafe\u0301" if i == 0 else f"text {i}") for i in range(300)], "chapter_id long, title string, text string")
+    assert p4.look_alikes(df).count() == 200
+    got = Counter((r["class_id"], r["n_forms"], r["n_links"]) for r in p4.look_classes(df).collect())
+    assert got == {(0, 2, 200): 1, (0, 2, 1): 200}
 
 
 def test_p4_awkward(spark, awkward, nothing):
     assert p4.canonical_form(awkward).count() == len(AWKWARD) + 1
     assert p4.look_alikes(awkward).count() == 0
     assert p4.look_alikes(nothing).count() == 0
+    assert p4.look_classes(awkward).count() == 0 and p4.look_classes(nothing).count() == 0
 
 
 # -- 5 ----------------------------------------------------------------------------------------
