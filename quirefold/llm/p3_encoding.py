@@ -1,11 +1,13 @@
 """Text that was decoded with the wrong encoding: finding its spans and restoring them.
 
-A hidden Markov model has one clean state and one state for each pair (encoding written in,
-encoding read as). It reads a text as its runs of visible characters that an 8-bit encoding could
-have produced and that are not all ASCII. In the clean state a run has its probability under a
-bigram model of the corpus' characters; in a pair's state, that of the run's inverse transform (none if the
-transform fails). The likeliest path labels the characters; each labelled span gets its state's
-inverse transform. Replacement characters are marked as lost.
+A hidden Markov model has one clean state, one state for each pair (encoding written in, encoding
+read as), and one for lost characters, which replacement characters are. It labels the visible
+characters that an 8-bit encoding could have produced, in the runs between blanks that are not all
+ASCII. In the clean state a character has its probability under a bigram model of the corpus'
+characters; in a pair's state, what the inverse transform makes of it has. The path first takes each
+run as a whole, as damage mostly does; in a run that holds sequences of UTF-8 in a wrong reading, or
+of which no one state explains all characters, it goes on character by character and may change its
+state within the run. Each labelled span gets its state's inverse transform.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ PAIRS = (
 )
 #: Log probability of leaving a state for one other, against staying.
 SWITCH = -9.0
+#: The same between two characters of one run.
+SWITCH_WITHIN = -5.0
 #: What a pair's state must gain over clean in a run before it counts as a witness.
 GAIN = 4.0
 #: Runs whose least likely step is likelier than this are clean.
@@ -51,6 +55,8 @@ COMMON = -7.0
 ALPHA = 0.5
 LOST = "\ufffd"
 CACHE = 200_000
+#: Latin letters beside those of another alphabet: no word.
+MIXED_WORD = re.compile("[A-Za-z\u00c0-\u024f][\u0370-\u06ff]|[\u0370-\u06ff][A-Za-z\u00c0-\u024f]")
 #: A first byte of UTF-8 behind a small letter whose following byte is lost.
 CUT_OFF = re.compile(rb"(?<=[a-z])[\xc2-\xc5](?![\x80-\xbf])")
 
@@ -176,6 +182,56 @@ def undamaged(counts: dict[int, int]) -> dict[int, float]:
     return {k: n * (1 - follows[k & 4095] / max(total_a[k & 4095], 1)) * (1 - leads[k >> 12] / max(total_b[k >> 12], 1)) for k, n in counts.items() if k not in bad}
 
 
+@functools.cache
+def _utf8_states() -> tuple[int, ...]:
+    return tuple(i for i, p in enumerate(PAIRS) if p[0] == "utf-8" and len(p) == 2)
+
+
+@functools.cache
+def _sequences() -> frozenset[str]:
+    """A first and a following byte of UTF-8, as its wrong readings show them."""
+    out = set()
+    for i in _utf8_states():
+        back = {b: chr(c) for c, b in _bytes_of(PAIRS[i][1]).items() if b > 127}
+        out |= {back[a] + back[b] for a in range(0xC2, 0xF5) for b in range(0x80, 0xC0) if a in back and b in back}
+    return frozenset(out)
+
+
+@functools.cache
+def _steps_of(pair: int) -> tuple[dict[str, int], dict[bytes, str]]:
+    """A pair's bytes by character, and what single bytes or sequences beyond ASCII were written for."""
+    wrote, read = PAIRS[pair][:2]
+    single: dict[bytes, str] = {}
+    if wrote != "utf-8":
+        for b in range(128, 256):
+            try:
+                single[bytes([b])] = bytes([b]).decode(wrote)
+            except UnicodeDecodeError:
+                continue
+    return {chr(c): b for c, b in _bytes_of(read).items()}, single
+
+
+def written_for(run: str, i: int, pair: int) -> tuple[int, str] | None:
+    """How many characters from i on the pair's state takes as one, and the character they stand for; None if it can't."""
+    of, single = _steps_of(pair)
+    b = of.get(run[i])
+    if b is None:
+        return None
+    if b < 0x80:
+        return 1, run[i]
+    if PAIRS[pair][0] != "utf-8":
+        c = single.get(bytes([b]))
+        return None if c is None or not _legible(c) else (1, c)
+    n = 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
+    if not n or i + n > len(run):
+        return None
+    try:
+        c = bytes([of[x] for x in run[i : i + n]]).decode()
+    except (KeyError, UnicodeDecodeError):
+        return None
+    return (n, c) if _legible(c) else None
+
+
 class Labeller:
     """The hidden Markov model over a table of bigram counts."""
 
@@ -194,6 +250,7 @@ class Labeller:
         self.char: dict[str, int] = {}
         self.changed = changed()
         self.memo: dict[str, tuple] = {}
+        self.within: dict[tuple, tuple] = {}
         self.steps: dict[int, float] = {}
 
     def _step(self, key: int) -> float:
@@ -263,7 +320,7 @@ class Labeller:
                 gaps = t.count(LOST)
                 if not t or t == run or gaps and gaps != len(CUT_OFF.findall(raw)) or not _legible(t):
                     continue
-                if p[0] != "utf-8" and not any(c > "\x7f" and c.isalpha() for c in t):
+                if p[0] != "utf-8" and (not any(c > "\x7f" and c.isalpha() for c in t) or MIXED_WORD.search(t)):
                     continue
                 kept = t.replace(LOST, "") if gaps else t
                 v = self.score(kept)[0] - 6.0 * gaps - 5.0 * sum("\u2e80" <= c <= "\ud7ff" and not "\u3000" <= c <= "\u30ff" for c in t)
@@ -273,6 +330,76 @@ class Labeller:
         self.memo[run] = got = (clean, pairs, witness)
         return got
 
+    def characters(self, run: str, states: tuple[int, ...]) -> tuple[float, list[tuple[int, int, int]]]:
+        """(log probability, spans (start, end, pair)) of the likeliest path over the characters of one run, by the clean state and these pairs."""
+        got = self.within.get((run, states))
+        if got is not None:
+            return got
+        if len(self.within) > CACHE:
+            self.within.clear()
+        n = len(run)
+        symbol = lambda c: self.char.get(c) or self.char.setdefault(c, int(self.sym[ord(c)]))
+        step = lambda k: v if (v := self.steps.get(k)) is not None else self._step(k)
+        # best[i][state]: score, last symbol, where the step began, the state before
+        best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
+        best[0][-1] = (0.0, 4, 0, -1)
+        for i in range(n):
+            if not best[i]:
+                continue
+            top = max(best[i], key=lambda s: best[i][s][0])
+            for s in (-1, *states):
+                way = (1, run[i]) if s < 0 else written_for(run, i, s)
+                if way is None:
+                    continue
+                k, c = way
+                b = symbol(c)
+                for frm in {s, top} & best[i].keys():
+                    v, a, _, _ = best[i][frm]
+                    v += step(a << 12 | b) + (0.0 if frm == s else SWITCH_WITHIN)
+                    if s not in best[i + k] or v > best[i + k][s][0]:
+                        best[i + k][s] = (v, b, i, frm)
+        ends = {s: v + step(a << 12 | 4) for s, (v, a, _, _) in best[n].items()}
+        s = max(ends, key=ends.__getitem__)
+        total, i, spans = ends[s], n, []
+        while i:
+            _, _, j, frm = best[i][s]
+            if s >= 0 and (i - j > 1 or run[j] > "\x7f"):
+                if spans and spans[-1][0] == i and spans[-1][2] == s:
+                    spans[-1] = (j, spans[-1][1], s)
+                else:
+                    spans.append((j, i, s))
+            i, s = j, frm
+        self.within[run, states] = got = (total, spans[::-1])
+        return got
+
+    def path(self, text: str, runs: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[int]]:
+        """Spans and their states: runs as a whole, and parts of runs where the path changes its state within."""
+        labels = self.label(text, runs)
+        known = tuple(sorted({s for s in labels if s >= 0 and len(PAIRS[s]) == 2} - set(_utf8_states())))
+        spans: list[tuple[int, int]] = []
+        states: list[int] = []
+        for (a, b), s in zip(runs, labels, strict=True):
+            run = text[a:b]
+            parts = None
+            if s != -2 and self.mixes(run, s, bool(known)):
+                clean, pairs, _ = self.emission(run)
+                v, parts = self.characters(run, (*_utf8_states(), *known))
+                if v <= (pairs.get(s, clean) if s >= 0 else clean) + (2.0 if s >= 0 else GAIN):
+                    parts = None
+            for p, q, x in parts if parts is not None else [(0, b - a, s)]:
+                spans.append((a + p, a + q))
+                states.append(x)
+        return spans, states
+
+    def mixes(self, run: str, state: int, known: bool) -> bool:
+        """Whether the characters of a run may need more than one state: UTF-8 sequences that its state does not take as such, or, in a damaged text, a run that nothing explains."""
+        if state >= 0 and PAIRS[state][0] == "utf-8":
+            return False
+        sequences = _sequences()
+        if any(x + y in sequences for x, y in zip(run, run[1:], strict=False)):
+            return True
+        return state == -1 and known and self.score(run)[1] < COMMON
+
     def label(self, text: str, spans: list[tuple[int, int]]) -> list[int]:
         """State of each run: -1 clean, -2 lost, else the index of its pair."""
         em = [self.emission(text[a:b]) for a, b in spans]
@@ -312,14 +439,14 @@ def _legible(text: str) -> bool:
 
 
 def spans_of(texts: list[str]) -> list[list[tuple[int, int]]]:
-    """For each text its runs of repertoire and visible ASCII characters that are not all ASCII."""
+    """For each text its runs of repertoire and visible ASCII characters that are not all ASCII; replacement characters are runs of their own."""
     out: list[list[tuple[int, int]]] = []
     for lo, hi in passes(texts):
         part = texts[lo:hi]
         base = np.cumsum([0, *(len(t) + 1 for t in part)])
         cp = points("\n".join(part) + "\n")
         kind = repertoire()[cp]
-        a, b = runs(kind > 0)
+        a, b = (np.sort(np.concatenate(x)) for x in zip(runs((kind > 0) & (kind < 3)), runs(kind == 3), strict=True))
         high = np.concatenate(([0], np.cumsum(kind & 1)))
         ok = high[b] > high[a]
         a, b = a[ok], b[ok]
@@ -363,7 +490,7 @@ def repair_encoding(df: DataFrame, key: str, column: str, model: DataFrame | dic
         def of(keys, texts):
             out = {f.name: [] for f in schema}
             for k, t, spans in zip(keys, texts, spans_of([t or "" for t in texts]), strict=True):
-                labels = model.label(t, spans) if spans else []
+                spans, labels = model.path(t, spans) if spans else ([], [])
                 row = [k, any(s != -1 for s in labels), any(s == -2 for s in labels)]
                 if content:
                     row += [restore(t, spans, labels) if t is not None else None, [(a, b, "lost" if s == -2 else " > ".join(PAIRS[s])) for (a, b), s in zip(spans, labels, strict=True) if s != -1]]

@@ -195,8 +195,7 @@ def model():
 
 
 def labelled(model, t):
-    spans = p3.spans_of([t])[0]
-    return spans, model.label(t, spans)
+    return model.path(t, p3.spans_of([t])[0])
 
 
 def test_p3_clean_stays(model):
@@ -230,6 +229,23 @@ def test_p3_part_of_a_text_and_lost_bytes(model):
     assert -2 in labelled(model, "Die K�chin")[1]
 
 
+FRENCH = ["Un “café” noir, l’été déjà passé.", "La fenêtre – grande et très belle – était fermée.", "Le garçon a reçu une lettre du français, qui était là.", "Müller und Größe, öffnete – für die Straße."]
+
+
+def test_p3_states_change_within_a_run():
+    """Correct quotation marks, dashes and accents beside damage, without a blank between them."""
+    c = Counter()
+    for t in [*CLEAN, *FRENCH] * 60 + [PROSE * 100]:
+        c.update(p3.bigrams(t))
+    model = p3.Labeller(dict(c))
+    cases = {"un “cafÃ©” noir": "un “café” noir", "l’Ã©tÃ©": "l’été", "(déjà-Ã©tÃ©)": "(déjà-été)", "Müller–GrÃ¶ÃŸe": "Müller–Größe", "«Ã©tÃ©�»": "«été�»"}
+    for bad, good in cases.items():
+        assert p3.restore(bad, *labelled(model, bad)) == good
+    for t in [*FRENCH, "“l’été”", "(déjà–passé)", "Ã la carte"]:
+        assert p3.restore(t, *labelled(model, t)) == t
+    assert [x for x in labelled(model, "“café� noir”")[1] if x != -1] == [-2]
+
+
 def test_p3_awkward(spark, awkward, nothing):
     m = p3.character_model((awkward, "text"), (awkward, "title"))
     got = p3.repair_encoding(awkward, "chapter_id", "text", m).collect()
