@@ -36,7 +36,8 @@ PAIRS = (
     *((x, "cp437") for x in ("cp1252", "cp1250")),
     *((x, "cp850") for x in ("cp1252",)),
     *((x, "mac-roman") for x in ("cp1252", "gbk", "shift_jis", "euc-jp")),
-    *((x, "koi8-r") for x in ("cp1251",)),
+    *((x, "koi8-r") for x in ("cp1251", "koi8-u")),
+    *(("koi8-u", x) for x in ("cp1252", "latin-1", "cp1251")),
     *((x, "cp866") for x in ("cp1251",)),
     ("utf-8", "cp1252", "utf-8", "cp1252"),
     ("utf-8", "latin-1", "utf-8", "latin-1"),
@@ -320,7 +321,7 @@ class Labeller:
                 gaps = t.count(LOST)
                 if not t or t == run or gaps and gaps != len(CUT_OFF.findall(raw)) or not _legible(t):
                     continue
-                if p[0] != "utf-8" and (not any(c > "\x7f" and c.isalpha() for c in t) or MIXED_WORD.search(t)):
+                if p[0] != "utf-8" and (not any(c > "\x7f" and c.isalpha() for c in t) or not _words(t)):
                     continue
                 kept = t.replace(LOST, "") if gaps else t
                 v = self.score(kept)[0] - 6.0 * gaps - 5.0 * sum("\u2e80" <= c <= "\ud7ff" and not "\u3000" <= c <= "\u30ff" for c in t)
@@ -384,7 +385,8 @@ class Labeller:
             if s != -2 and self.mixes(run, s, bool(known)):
                 clean, pairs, _ = self.emission(run)
                 v, parts = self.characters(run, (*_utf8_states(), *known))
-                if v <= (pairs.get(s, clean) if s >= 0 else clean) + (2.0 if s >= 0 else GAIN):
+                eight_bit = any(PAIRS[x][0] != "utf-8" for _, _, x in parts)
+                if v <= (pairs.get(s, clean) if s >= 0 else clean) + (2.0 if s >= 0 else GAIN) or eight_bit and not _words(restore(run, [x[:2] for x in parts], [x[2] for x in parts])):
                     parts = None
             for p, q, x in parts if parts is not None else [(0, b - a, s)]:
                 spans.append((a + p, a + q))
@@ -438,6 +440,14 @@ def _legible(text: str) -> bool:
     return not any(c < " " and c not in "\n\t\r" or "\x7f" <= c <= "\x9f" or "\ue000" <= c <= "\uf8ff" for c in text)
 
 
+def _words(text: str) -> bool:
+    """No word holds letters of two alphabets, or a symbol between its letters."""
+    import unicodedata as u
+
+    inner = any(a.isalpha() and c.isalpha() and not b.isalnum() and u.category(b)[0] == "S" for a, b, c in zip(text, text[1:], text[2:], strict=False))
+    return not inner and not MIXED_WORD.search(text)
+
+
 def spans_of(texts: list[str]) -> list[list[tuple[int, int]]]:
     """For each text its runs of repertoire and visible ASCII characters that are not all ASCII; replacement characters are runs of their own."""
     out: list[list[tuple[int, int]]] = []
