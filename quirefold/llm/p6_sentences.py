@@ -3,7 +3,8 @@
 A pushdown automaton reads each line: its stack holds the quotation marks and brackets that are
 open, and over the lines the list levels, so that an item's marker ends no sentence. A terminator ends a sentence only if the stack is empty after the closing marks that follow
 it, if no abbreviation, initial, ordinal or decimal explains the full stop, and if what follows can
-begin a sentence (in scripts with letter case: no small letter, also behind a dash).
+begin a sentence (in scripts with letter case: no small letter, also behind a dash). In scripts
+without terminators a blank behind letters enough ends a sentence.
 """
 
 from __future__ import annotations
@@ -32,8 +33,14 @@ MAY_END = """etc p.m a.m usw u.s.w itd itp i.t.d enz osv m.fl m.m jr sr inc ltd
 OPEN = {"“": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "{": "}", "（": "）", "《": "》", "【": "】"}
 LOW = {"„": "“”", "‚": "‘’"}
 CLOSE = set("”»›」』)]}）》】’")
-STOP = ".!?…؟।॥。！？．‼⁇⁈⁉"
+STOP = ".!?…؟।॥。！？．‼⁇⁈⁉۔։።፧།༎။។៕"
 WIDE = "。！？．"
+#: Terminators behind which no blank need follow.
+CLOSE_UP = "।॥؟።፧།༎။។៕۔"
+#: Scripts that have no terminators (Thai, Lao): there a blank between two letters ends a sentence of at least so many of them.
+UNMARKED = re.compile("[\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0eb9\u0ebb-\u0edf]")
+UNMARKED_BLANK = re.compile("(?<=[\u0e01-\u0e4e\u0e81-\u0edf])[ \u00a0]+(?=[\u0e01-\u0e46\u0e81-\u0ec6])")
+UNMARKED_LEAST = 24
 #: Words before a day's ordinal in German.
 BEFORE_ORDINAL = {"am", "dem", "der", "den", "vom", "zum", "im", "des", "das", "die", "bis", "beim", "ein", "einem", "einen", "sein", "ihr"}
 LINE = re.compile("[^\\n\\r\\x0b\\x0c\\u2028\\u2029]+")
@@ -154,10 +161,26 @@ def line_ends(line: str, marker: int = 0) -> list[int]:
     while True:
         ends, unclosed = _read(line, ignored, last, marker)
         if not unclosed:
-            return ends
+            return _without_terminators(line, ends) if UNMARKED.search(line) else ends
         ignored |= unclosed
 
 
+def _without_terminators(line: str, ends: list[int]) -> list[int]:
+    """The ends, and within the pieces that are mostly of a script without terminators those at blanks."""
+    out: list[int] = []
+    begin = 0
+    for end in ends:
+        if len(UNMARKED.findall(line, begin, end)) * 2 > end - begin:
+            at = begin
+            for m in UNMARKED_BLANK.finditer(line, begin, end):
+                if len(UNMARKED.findall(line, at, m.start())) >= UNMARKED_LEAST:
+                    out.append(m.start())
+                    at = m.end()
+        out.append(end)
+        begin = end
+    return out
+
+
 def _last_marks(line: str) -> dict[str, int]:
     """Where the last of each mark that may close stands; of ' the last that ends a quotation."""
     last = {c: line.rfind(c) for c in "\"”’"}
@@ -210,7 +233,7 @@ def _read(line: str, ignored: set[int], last: dict[str, int], marker: int = 0) -
             break
         wide = line[j - 1] in WIDE or c in WIDE
         gap = line[k].isspace()
-        if not gap and not wide and line[j - 1] not in "।॥؟":
+        if not gap and not wide and line[j - 1] not in CLOSE_UP:
             continue
         t = k
         while t < n and line[t].isspace():

@@ -425,6 +425,26 @@ def test_p6_long_quotations_and_unclosed_marks():
     assert p6.sentence_ends(t)[0] == 25 and p6.sentence_ends(t)[-2:] == [len(t) - 5, len(t)]
 
 
+@pytest.mark.parametrize(
+    ("parts", "gap"),
+    [
+        (["བཀྲ་ཤིས་བདེ་ལེགས།", "ང་བོད་པ་ཡིན།"], " "),
+        (["သူသည် ကျောင်းသို့ သွားသည်။", "မိုးရွာနေသည်။"], " "),
+        (["သူသွားသည်။", "မိုးရွာသည်။"], ""),
+        (["ខ្ញុំទៅសាលារៀន។", "គាត់នៅផ្ទះ។"], " "),
+        (["Նա գնաց դպրոց։", "Անձրև էր գալիս։"], " "),
+        (["ልጁ ወደ ትምህርት ቤት ሄደ።", "ዝናብ ይዘንባል።"], " "),
+        (["وہ اسکول گیا۔", "بارش ہو رہی ہے۔"], " "),
+        (["มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกัน", "ต่างในตนมีเหตุผลและมโนธรรม"], " "),
+        (["ราคา 25 บาท"], " "),
+    ],
+)
+def test_p6_more_scripts(parts, gap):
+    t = gap.join(parts)
+    ends = p6.sentence_ends(t)
+    assert [t[a:b].strip() for a, b in zip([0, *ends], ends)] == parts
+
+
 def test_p6_list_levels():
     def parts(t):
         ends = p6.sentence_ends(t)
