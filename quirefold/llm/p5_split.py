@@ -2,9 +2,11 @@
 
 The text is a row of units (sentences and lines). Words hash into a vector for each unit; the
 similarity of the blocks of units before and after each unit border forms a curve whose valleys
-mark changes of topic. Each cut takes the deepest valley in the window of sizes that is left for
+mark changes of topic. A valley is as deep as the curve falls to it from the peaks on both sides.
+Each cut takes the deepest valley in the window of sizes that is left for
 the piece; where the window has no unit border, the cut falls back to a clause, a word and last
-a hard cut. The next piece begins up to `overlap` characters earlier, at a natural boundary too.
+a hard cut. The next piece begins at least `overlap` characters earlier, at a natural boundary if
+there is one within half as much again.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 from .kernel import letter_or_digit, map_columns, passes, points, runs, table
 
-#: The reference's chunk size, in code points, and the stated overlap between neighbours.
+#: The reference's chunk size, in code points, and the least overlap between neighbours.
 MAX_CHARS, OVERLAP = 1000, 100
 #: A piece that is cut has at least this share of the size; units in a block; size of the word vectors.
 LEAST, BLOCK, WIDTH = 0.5, 4, 64
@@ -110,15 +112,16 @@ def borders(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def depths(cp: np.ndarray, cls: np.ndarray, units: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How deep the cohesion valley at each unit border is: 1 minus the cosine of the blocks around it.
+    """How deep the cohesion valley at each unit border is: how far the cosine of the blocks around it lies below the peaks to its left and right, together.
 
-    doc has the document of each border, of which the first is its start; a block ends with its document.
+    A peak is where the curve, going up from the border, first turns down. doc has the document of
+    each border, of which the first is its start; blocks and slopes end with their document.
     """
     k = len(units)
     wordy = (cls == WORDY) | (cls == MARK)
     ws, we = runs(wordy)
     if not k or not len(ws):
-        return np.ones(k)
+        return np.zeros(k)
     at = np.flatnonzero(wordy)
     place = np.arange(len(at), dtype=np.uint64) - np.repeat(np.cumsum(we - ws) - (we - ws), we - ws).astype(np.uint64)
     val = _mix()[cp[at]] * (place + np.uint64(1))
@@ -134,7 +137,15 @@ def depths(cp: np.ndarray, cls: np.ndarray, units: np.ndarray, doc: np.ndarray)
     left = total[i] - total[np.maximum(i - BLOCK, first)]
     right = total[np.minimum(i + BLOCK, last)] - total[i]
     norm = np.sqrt(np.einsum("ij,ij->i", left, left) * np.einsum("ij,ij->i", right, right))
-    return 1 - np.einsum("ij,ij->i", left, right) / np.maximum(norm, 1e-9)
+    alike = np.round(np.einsum("ij,ij->i", left, right) / np.maximum(norm, 1e-9), 6)
+    # a document's first border is no valley: the slopes start behind it
+    alike[np.append(True, doc[1:] != doc[:-1])] = -1.0
+    place = np.arange(k)
+    begins = np.append(True, (alike[1:] > alike[:-1]) | (doc[1:] != doc[:-1]))
+    peak_left = alike[np.maximum.accumulate(np.where(begins, place, 0))]
+    ends = np.append((alike[1:] < alike[:-1]) | (doc[1:] != doc[:-1]), True)
+    peak_right = alike[np.minimum.accumulate(np.where(ends, place, k - 1)[::-1])[::-1]]
+    return (peak_left - alike) + (peak_right - alike)
 
 
 def split_many(texts: list[str | None], most: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[list[tuple[int, int, int, int]], int]]:
@@ -187,15 +198,12 @@ def _cuts(n: int, most: int, overlap: int, units: list[int], depth: list[float],
                 while cut > start + lap + 1 and cls[cut] == MARK:
                     cut -= 1
         out.append((start, cut, lap, how))
-        # the overlap starts at the earliest sentence border within reach, else at the earliest word
-        near = soft[bisect_left(soft, max(start + 1, cut - overlap)) : bisect_left(soft, cut)]
-        begin = cut
-        if near:
-            begin = next((x for x in near if kind[x] <= SENTENCE), near[0])
-        elif how == HARD:
-            begin = max(start + 1, cut - overlap)
-            while begin < cut and cls[begin] == MARK:
-                begin += 1
+        # the overlap starts at a sentence border, else a word border, that lies as far back as it must and not half as far again
+        back = max(start + 1, cut - overlap)
+        near = soft[bisect_left(soft, max(start + 1, cut - overlap - overlap // 2)) : bisect_right(soft, back)]
+        begin = next((x for x in reversed(near) if kind[x] <= SENTENCE), near[-1] if near else back)
+        while begin > start + 1 and cls[begin] == MARK:
+            begin -= 1
         start, lap = begin, cut - begin
     out.append((start, n, lap, END))
     return out
@@ -205,7 +213,8 @@ def split_texts(df: DataFrame, key: str = "chapter_id", text: str = "text", most
     """The pieces of each row's text, in order: key, the columns of PIECE, and with content the piece itself.
 
     start and end are code points (from 0, end excluded); end - start is at most `most`; overlap is
-    the number of characters shared with the piece before; together the pieces hold every character.
+    the number of characters shared with the piece before: at least the parameter and at most half
+    as much again, but less than that piece; together the pieces hold every character.
     longest_run is the whole text's longest run of letters and digits. Null and empty texts give no
     pieces, short texts one; repeated rows are split each for itself.
     """

@@ -344,19 +344,48 @@ def test_p4_awkward(spark, awkward, nothing):
 # -- 5 ----------------------------------------------------------------------------------------
 
 
-def check_pieces(t, pieces, most):
+def check_pieces(t, pieces, most, overlap):
     assert pieces[0][0] == 0 and pieces[-1][1] == len(t)
     assert all(0 < b - a <= most for a, b, _, _ in pieces)
-    for (_, b, _, _), (a2, b2, lap, _) in zip(pieces, pieces[1:]):
-        assert a2 + lap == b and b2 > b and 0 <= lap <= p5.OVERLAP
+    for (a, b, _, _), (a2, b2, lap, _) in zip(pieces, pieces[1:]):
+        # marks that belong to the first character may go along
+        assert a2 + lap == b and b2 > b and min(overlap, b - a - 1) <= lap <= overlap * 3 // 2 + 3
 
 
 def test_p5_covers_every_character():
     r = random.Random(6)
     texts = ["".join(r.choice("aab .,!\n。。字字字é") for _ in range(r.randint(1, 5000))) for _ in range(80)] + [LONG, "y" * 5000, "字" * 3000, "é" * 2000, PROSE * 40]
     for most in (40, 1000):
-        for t, (pieces, _) in zip(texts, p5.split_many(texts, most, min(p5.OVERLAP, most // 3)), strict=True):
-            check_pieces(t, pieces, most)
+        overlap = min(p5.OVERLAP, most // 3)
+        for t, (pieces, _) in zip(texts, p5.split_many(texts, most, overlap), strict=True):
+            check_pieces(t, pieces, most, overlap)
+
+
+def test_p5_depth_is_measured_against_the_peaks():
+    """The curve 0.2 0.6 0.1 0.5 0.4 by plain Python: up from each border to the left and to the right."""
+    import numpy as np
+
+    r = random.Random(5)
+    text = " ".join(" ".join(r.choice(["mill", "ship", "lamp", "salt", "gate"]) for _ in range(5)) + "." for _ in range(60))
+    cp = p5.points(text + "\n")
+    kind, units = p5.borders(p5._lut()[cp])
+    units = np.union1d(units, [0])
+    got = p5.depths(cp, p5._lut()[cp], units, np.zeros(len(units), int))
+    words = [text[a:b].replace(".", "").split() for a, b in zip(units, [*units[1:], len(text)])]
+
+    def alike(i):
+        a, b = (Counter(w for u in us for w in u) for us in (words[max(0, i - p5.BLOCK) : i], words[i : i + p5.BLOCK]))
+        return sum(a[w] * b[w] for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())) if a else -1.0
+
+    curve = [round(alike(i), 6) for i in range(len(words))]
+    for i in range(1, len(curve)):
+        peaks = 0.0
+        for way in (-1, 1):
+            j = i
+            while 0 < j + way < len(curve) and curve[j + way] >= curve[j]:
+                j += way
+            peaks += curve[j] - curve[i]
+        assert got[i] == pytest.approx(peaks, abs=1e-4), i
 
 
 def test_p5_cuts_at_the_change_of_topic():
