@@ -56,6 +56,65 @@ def test_p1_kinds(kind):
     assert p1.statistics(KINDS[kind])["kind"] == [kind] * len(KINDS[kind])
 
 
+MORE_KINDS = {
+    "verse": ("prose", "Whose lamp this is I think I know.\nHis house is by the harbour though;\nHe will not see me stopping here\nTo watch his boats come in and go.\n\nThe grey horse must think it strange\nTo stop without a farmhouse near\nBetween the woods and frozen lake\nThe darkest evening of the year."),
+    "short verse": ("prose", "The fog comes\non little feet.\n\nIt sits looking\nover harbour and city\non silent haunches\nand then moves on."),
+    "long bullets": ("list", "\n".join(f"* The {a} near the river was {b} by the men of the village before the first frost came." for a, b in zip("bridge mill house gate road wall school church barn well".split(), "mended built sold painted closed opened burnt left cleaned drawn".split()))),
+    "two columns": ("table", "\n".join(f"{w},{i * 7}" for i, w in enumerate("bread salt lamp rope boat oil flour wood iron cloth".split()))),
+    "code": ("junk", "def area(w, h):\n    if w < 0 or h < 0:\n        raise ValueError('no size')\n    total = {k: [v * 2 for v in x] for k, x in w.items()}\n    return (w * h) / 2\n\nfor i in range(10):\n    print(area(i, i + 1), total[i])\n"),
+    "one sentence for ever": ("junk", "Nobody in the small village by the river had ever asked the old miller why he opened the gate. " * 200),
+    "two lines in turn": ("junk", "The miller opened the old gate.\nNobody asked him why he did.\n" * 100),
+    "a stretch of letters": ("prose", f"{PROSE * 3}\n{'x' * 199}\n{PROSE * 2}"),
+    "a longer stretch": ("prose", f"{PROSE * 3}\n{'x' * 2001}\n{PROSE * 2}"),
+}
+
+
+@pytest.mark.parametrize("case", MORE_KINDS)
+def test_p1_more_kinds(case):
+    kind, text = MORE_KINDS[case]
+    assert p1.statistics([text])["kind"] == [kind]
+
+
+def test_p1_letters_without_sense():
+    """Random letters in groups of the length of words are junk in any script; languages that the corpus lacks, and wrong decodings, are not."""
+    c = Counter()
+    for t in [*CLEAN * 300, PROSE * 400, *(p for v in RIGHTS.values() for p in v for _ in range(20))]:
+        c.update(p1.letter_pairs(t))
+    letters = p1.Letters(dict(c))
+    r = random.Random(2)
+    words = lambda alphabet: " ".join("".join(r.choice(alphabet) for _ in range(r.randint(2, 9))) for _ in range(60)) + "."
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя"):
+        assert p1.statistics([words(alphabet)], letters=letters)["kind"] == ["junk"]
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    damaged = [t.encode().decode("cp1252", "replace") for t in CLEAN[:3]]
+    assert set(p1.statistics([finnish, *damaged, *CLEAN], letters=letters)["kind"]) == {"prose"}
+
+
+def test_p1_fitting():
+    """Expected counts are those of all paths; fitting makes the lines likelier and keeps every probability above a share of the stated one."""
+    import itertools
+
+    import numpy as np
+
+    r = random.Random(4)
+    m = p1.Model()
+    docs = [[r.randrange(10) for _ in range(n)] for n in (1, 3, 4)]
+    emitted, moved = p1.expected(np.array(sum(docs, [])), np.repeat(np.arange(3), [1, 3, 4]), m)
+    want_e, want_m = np.zeros((4, 10)), np.zeros((4, 4))
+    for d in docs:
+        paths = list(itertools.product(range(4), repeat=len(d)))
+        like = [0.25 * math.prod(m.emission[s, x] for s, x in zip(p, d)) * math.prod(m.moves[a, b] for a, b in zip(p, p[1:])) for p in paths]
+        for p, v in zip(paths, like):
+            for s, x in zip(p, d):
+                want_e[s, x] += v / sum(like)
+            for a, b in zip(p, p[1:]):
+                want_m[a, b] += v / sum(like)
+    assert np.allclose(emitted, want_e) and np.allclose(moved, want_m)
+    f = m.fitted(emitted, moved)
+    assert np.allclose(f.emission.sum(1), 1) and np.allclose(f.moves.sum(1), 1) and (f.emission >= p1.STATED * m.emission - 1e-12).all()
+    assert [x.shape for x in p1.expected(np.zeros(0, np.uint8), np.zeros(0, int), m)] == [(4, 10), (4, 4)]
+
+
 def test_p1_statistics_values():
     got = p1.statistics(["Two words.\nno stop", None, "", " \n"], frozenset(["no", "words."]))
     assert got["n_words"] == [4, None, 0, 0]
