@@ -30,8 +30,6 @@ FREQUENT, RATIO = 4, 12
 LETTER_RATIO = 150
 #: Words known to every task; others go through a join.
 LEXICON = 60_000
-#: Longest word looked at.
-LONGEST = 40
 # Hyphens at line ends; the last two are never a compound's own.
 HYPHENS = "-‐­¬"
 SOFT = "­¬"
@@ -41,6 +39,7 @@ LAST_WORD = re.compile(r"[|!]?[^\W_]+(?:[|!'’\-][^\W_]+)*\Z")
 FIRST_WORD = re.compile(r"\s*([|!]?[^\W_]+(?:[|!'’\-][^\W_]+)*)")
 #: A digit or stroke inside a word, or before one.
 INSIDE = re.compile(r"[^\W\d_]+[0-9|!]+[^\W\d_]{2,}|[^\W\d_]{3,}[0-9|!]+[^\W\d_]*|[01569|!][^\W\d_]{4,}")
+INSIDE_SQL = r"^(?:\p{L}+[0-9|!]+\p{L}{2,}|\p{L}{3,}[0-9|!]+\p{L}*|[01569|!]\p{L}{4,})$"
 NUMBER = r"[0-9lIoO|!SsBZzgqb]{1,5}|[ivxlcIVXLC!1|]{1,8}"
 BARE = re.compile(rf"[\W_]*(?:(?:page|p[aá]g(?:ina)?|seite|sida|str(?:ona)?|стр|с|σελ)\.?\s*)?({NUMBER})[\W_]*", re.I)
 HEADED = re.compile(rf"(?:({NUMBER})(?:\s{{2,}}|\s*\|\s*)(\S.*)|(\S.*?)(?:\s{{2,}}|\s*\|\s*)({NUMBER}))\.?")
@@ -76,13 +75,11 @@ def number_of(s: str) -> set[int]:
 def is_wrapped(lines: list[str]) -> bool:
     """Whether the lines are those of printed pages: a good part goes on in the next line."""
     full = [x.strip() for x in lines if x.strip()]
-    if len(full) < 5 or sorted(map(len, full))[len(full) * 9 // 10] > 100:
-        return False
     on = 0
     for a, b in zip(full, full[1:], strict=False):
         if (a[-1].isalnum() or a[-1] in ",;" or a[-1] in HYPHENS) and len(a) >= 24 and not b[0].isdigit() and not b[0].isupper():
             on += 1
-    return on >= 3 and on * 4 >= len(full)
+    return on >= max(1, min(3, len(full) - 1)) and on * 4 >= len(full)
 
 
 def key_of(s: str) -> str:
@@ -111,6 +108,8 @@ def page_lines(lines: list[str], first: int | None, last: int | None) -> tuple[s
     at = [i for i, x in enumerate(lines) if x.strip()]
     edge = {at[0], at[-1], *at[1:2], *at[-2:-1]}
     width = sorted(len(lines[i].rstrip()) for i in at)[len(at) * 9 // 10]
+    # no page is so much wider than its text
+    widest = max(75, width * 3 // 2)
     sure: set[int] = set()
     maybe: dict[int, str] = {}
     loose: dict[int, set[int]] = {}
@@ -120,7 +119,7 @@ def page_lines(lines: list[str], first: int | None, last: int | None) -> tuple[s
 
     for i in at:
         s = lines[i].strip()
-        if len(s) > 75 or s[-1] in ",;":
+        if len(s) > widest or s[-1] in ",;":
             continue
         if len(s) <= 16 and (m := BARE.fullmatch(s)):
             v = number_of(m[1])
@@ -147,7 +146,7 @@ def page_lines(lines: list[str], first: int | None, last: int | None) -> tuple[s
             continue
         s = lines[i].strip()
         bracket = s[0] == "[" and s[-1] == "]"
-        if len(s) > 75 or not bracket and s[-1] in ".!?,;:”»\"" + HYPHENS:
+        if len(s) > widest or not bracket and s[-1] in ".!?,;:”»\"" + HYPHENS:
             continue
         beside = k and at[k - 1] in sure or k + 1 < len(at) and at[k + 1] in sure
         short = len(lines[i].rstrip()) < width - 10
@@ -229,7 +228,7 @@ CONFUSED = tuple(sorted({a for a, _ in CONFUSIONS}))
 
 
 def findings(text: str | None, first: int | None, last: int | None, known: dict[str, int], own: list | None = None) -> list[tuple]:
-    """Rows of ITEM for one text: furniture, broken and misread for certain; head and word for the joins to judge.
+    """Rows of ITEM for one text: furniture and broken for certain; head and word for the joins to judge.
 
     A text of which a hyphen, or whether a line is language, can't be judged by the lexicon gives
     only the words it asks for. With their counts, `own` (word, count, whether it is no misread
@@ -241,7 +240,7 @@ def findings(text: str | None, first: int | None, last: int | None, known: dict[
     if not is_wrapped(lines):
         return []
     counts = {r["key"]: r["n"] for r in own or ()}
-    rare = {r["key"] for r in own or () if r["good"] and r["n"] >= FREQUENT and len(r["key"]) <= LONGEST and not inside(r["key"])}
+    rare = {r["key"] for r in own or () if r["good"] and r["n"] >= FREQUENT and not inside(r["key"])}
     sure, maybe, outer = page_lines(lines, first, last)
     asked: set[str] = set()
     broken, joined = broken_lines(lines, sure | set(maybe), known, counts, asked)
@@ -250,7 +249,7 @@ def findings(text: str | None, first: int | None, last: int | None, known: dict[
     tokens = [words(x) if i not in sure else [] for i, x in enumerate(lines)]
     for found in tokens:
         if 2 * sum(w in known for w in found) <= len(found):
-            asked.update(w for w in found if w not in known and len(w) <= LONGEST)
+            asked.update(w for w in found if w not in known)
     if asked and own is None:
         return [(0, "ask", w, None, None) for w in asked]
     if not asked and own is not None:
@@ -273,21 +272,15 @@ def findings(text: str | None, first: int | None, last: int | None, known: dict[
             w = a + b
             heads.add(j)
             if w not in known and w not in rare:
-                for side, y in ((i, a), (j, b)):
-                    if INSIDE.fullmatch(y) and not y[0].isdigit():
-                        out.append((side + 1, "misread", y, None, None))
-                whole = inside(w) and any(map(str.isalpha, a)) and any(map(str.isalpha, b))
-                out.append((i + 1, "misread" if whole else "word", w, len(a), j + 1))
+                out.append((i + 1, "word", w, len(a), j + 1))
         start = 1 if i in heads else 0
         # lines of no known words are no language; of a word or two, only the join with the frequent words can tell
         legible = 2 * sum(w in known or w in rare for w in found) >= len(found)
         few = len(found) < 3
         for w in found[start:]:
-            if w in known or w in rare or len(w) < 3 or len(w) > LONGEST or not legible and not few:
+            if w in known or w in rare or len(w) < 3 or not legible and not few:
                 continue
-            if legible and inside(w):
-                out.append((i + 1, "misread", w, None, None))
-            elif any(c in w for c in CONFUSED):
+            if any(c in w for c in CONFUSED):
                 out.append((i + 1, "word", w, None, None))
     return out
 
@@ -303,60 +296,69 @@ def _hash(s: str) -> int:
 
 
 def corrections(counts: DataFrame) -> DataFrame:
-    """(word, fix, place): for each rare word that one confusion turns into a frequent word, the most frequent such word and where they differ (from 0)."""
-    sized = counts.where(F.length("key").between(2, LONGEST)).select("key", "n")
-    spark = counts.sparkSession
-    table = F.broadcast(spark.createDataFrame([(a, b, _hash(b) - _hash(a)) for a, b in CONFUSIONS], "misread string, true_part string, shift long"))
-    true = sized.where((F.col("n") >= FREQUENT) & (F.length("key") > 2)).select(F.col("key").alias("fix"), F.col("n").alias("n_fix"), anagram_hash(F.col("key")).alias("h"))
+    """(word, fix, place): for each rare word that one confusion turns into a frequent word, the most frequent such word and where they differ (from 0).
+
+    A word with a digit or stroke inside need only be rarer than the frequent one. Words longer than
+    the longest frequent word and its confusions can have no fix and are passed over.
+    """
+    often = counts.where((F.col("n") >= FREQUENT) & (F.length("key") > 2))
+    longest = (often.agg(F.max(F.length("key"))).first()[0] or 0) + 2
+    sized = counts.where(F.length("key").between(2, longest)).select("key", "n")
+    true = often.select(F.col("key").alias("fix"), F.col("n").alias("n_fix"), anagram_hash(F.col("key")).alias("h"))
     rare = sized.select(F.col("key").alias("word"), "n", anagram_hash(F.col("key")).alias("h0"))
-    shifted = rare.join(table, F.expr("instr(word, misread) > 0")).select("word", "n", "misread", "true_part", (F.col("h0") + F.col("shift")).alias("h"))
+    table = F.array(*(F.struct(F.lit(a).alias("misread"), F.lit(b).alias("true_part"), F.lit(_hash(b) - _hash(a)).alias("shift")) for a, b in CONFUSIONS))
+    held = rare.withColumn("c", F.explode(F.filter(table, lambda c: F.instr(F.col("word"), c["misread"]) > 0)))
+    shifted = held.select("word", "n", "c.misread", "c.true_part", (F.col("h0") + F.col("c.shift")).alias("h"))
     same = "filter(sequence(1, length(word)), p -> substring(word, p, length(misread)) = misread and concat(substring(word, 1, p - 1), true_part, substring(word, p + length(misread))) = fix)"
     letters = F.col("misread").rlike(r"^\p{L}$") & F.col("true_part").rlike(r"^\p{L}$")
     roman = F.col("fix").rlike("^[ivxlc]+$")
-    enough = F.col("n_fix") >= F.when(letters, LETTER_RATIO).otherwise(RATIO) * F.col("n")
-    met = shifted.join(true, "h").where(enough & ~roman & (F.abs(F.length("fix") - F.length("word")) < 3)).withColumn("at", F.expr(same)).where(F.size("at") > 0)
+    digit = F.exists(F.split("word", "-"), lambda part: part.rlike(INSIDE_SQL))
+    enough = F.col("n_fix") >= F.when(digit, F.lit(1)).when(letters, F.lit(LETTER_RATIO)).otherwise(F.lit(RATIO)) * F.col("n")
+    met = shifted.join(true, "h").where(enough & (F.col("word") != F.col("fix")) & ~roman & (F.abs(F.length("fix") - F.length("word")) < 3)).withColumn("at", F.expr(same)).where(F.size("at") > 0)
     return met.groupBy("word").agg(F.max_by(F.struct("fix", (F.expr("at[0]") - 1).alias("place")), F.struct("n_fix", "fix")).alias("x")).select("word", "x.fix", "x.place")
 
 
 def scan_findings(chapters: DataFrame, books: DataFrame, lexicon: int = LEXICON) -> tuple[DataFrame, DataFrame]:
-    """(chapter_id, line_no, kind) of all findings, and (chapter_id, line_no, word, fix) of the misread words.
+    """(chapter_id, row, line_no, kind) of all findings, and (chapter_id, row, line_no, word, fix) of the misread words.
 
     chapters: chapter_id, book_id, text, page_start, page_end; books: book_id, title, author. Null,
-    empty and unpaged texts give no row; each repeated chapter gives its own. Lines count from 1.
+    empty and unpaged texts give no row; each repeated chapter gives its own. Lines count from 1; row
+    is a digest of the text, so that different texts under one id keep their findings apart.
     The `lexicon` most frequent words that are no misread ones go to every task; any other word
-    and hyphen is judged by a join with the counts. A word with a digit or stroke inside is never
-    taken for a true one, however often it occurs: counts grow with the corpus.
+    and hyphen is judged by a join with the counts, and the findings do not depend on its size. A
+    word with a digit or stroke inside is never taken for a true one, however often it occurs:
+    counts grow with the corpus. A word is misread only if the join finds what it was.
     """
     counts = checkpointed(count_tokens(chapters, "text", words))
     fixes = checkpointed(corrections(counts))
-    good = counts.join(fixes, counts["key"] == fixes["word"], "left_anti").where(F.length("key") <= LONGEST)
+    good = counts.join(fixes, counts["key"] == fixes["word"], "left_anti")
     known = {r["key"]: r["n"] for r in good.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(lexicon).collect() if not inside(r["key"])}
     shared = chapters.sparkSession.sparkContext.broadcast(known)
-    schema = T.StructType([chapters.schema["chapter_id"], chapters.schema["book_id"], *ITEM])
+    schema = T.StructType([chapters.schema["chapter_id"], T.StructField("row", T.LongType()), chapters.schema["book_id"], *ITEM])
 
     def make():
         lexicon_ = shared.value
 
-        def of(ids, books_, texts, firsts, lasts, owns):
+        def of(ids, digests, books_, texts, firsts, lasts, owns):
             out = {f.name: [] for f in schema}
-            for i, b, t, p, q, own in zip(ids, books_, texts, firsts, lasts, owns, strict=True):
+            for i, r, b, t, p, q, own in zip(ids, digests, books_, texts, firsts, lasts, owns, strict=True):
                 for row in findings(t, p, q, lexicon_, own):
-                    for f, v in zip(out, (i, b, *row), strict=True):
+                    for f, v in zip(out, (i, r, b, *row), strict=True):
                         out[f].append(v)
             return out
 
         return of
 
-    cast = chapters.select("chapter_id", "book_id", F.col("text").cast("string"), F.col("page_start").cast("int"), F.col("page_end").cast("int"))
+    cast = chapters.select("chapter_id", F.xxhash64(F.col("text").cast("string")).alias("row"), "book_id", F.col("text").cast("string"), F.col("page_start").cast("int"), F.col("page_end").cast("int"))
     cast = cast.where(F.instr("text", "\n") > 0)
     cast = cast.withColumn("own", F.lit(None).cast("array<struct<key:string,n:bigint,good:boolean>>"))
     once = checkpointed(map_columns(cast, cast.columns, schema, make))
     # texts whose hyphens and lines the lexicon can't judge are read again with the counts of their words
-    wanted = once.where("kind = 'ask'").select(F.col("chapter_id").alias("__id"), "key").distinct()
+    wanted = once.where("kind = 'ask'").select(F.col("chapter_id").alias("__id"), F.col("row").alias("__row"), "key").distinct()
     judged = wanted.join(counts, "key", "left").join(fixes.select(F.col("word").alias("key"), F.lit(False).alias("good")), "key", "left")
     entry = F.when(F.col("n").isNotNull(), F.struct("key", "n", F.coalesce("good", F.lit(True)).alias("good")))
-    own = judged.groupBy("__id").agg(F.collect_list(entry).alias("own"))
-    asking = cast.drop("own").join(own, F.col("chapter_id").eqNullSafe(F.col("__id"))).drop("__id")
+    own = judged.groupBy("__id", "__row").agg(F.collect_list(entry).alias("own"))
+    asking = cast.drop("own").join(own, F.col("chapter_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).drop("__id", "__row")
     items = checkpointed(once.where("kind <> 'ask'").unionAll(map_columns(asking, asking.columns, schema, make)))
 
     # running heads: the title or the author, but for misread characters
@@ -365,26 +367,25 @@ def scan_findings(chapters: DataFrame, books: DataFrame, lexicon: int = LEXICON)
     last = books.where("author is not null").select("book_id", key_column(F.element_at(F.split(F.trim("author"), r"\s+"), -1)).alias("last_key")).where(F.length("last_key") > 2)
     head = items.where("kind = 'head'").withColumn("head_key", key_column(F.col("key"))).where(F.length("head_key") > 2)
     near = F.levenshtein("head_key", "name_key") <= F.greatest(F.lit(1), F.floor(F.length("name_key") / 8))
-    heads = head.join(names, "book_id").where((F.abs(F.length("head_key") - F.length("name_key")) < 4) & near).select("chapter_id", "line_no")
+    heads = head.join(names, "book_id").where((F.abs(F.length("head_key") - F.length("name_key")) < 4) & near).select("chapter_id", "row", "line_no")
     mark = head.where(F.col("key").rlike(r"^\S+ ([A-Za-z]\d?|\d{1,2})$")).withColumn("mark_key", key_column(F.substring_index("key", " ", 1)))
     alone = (F.col("cut") == 1) & F.col("key").rlike(r"^\p{Lu}\p{L}+ [A-Z]$")
-    marks = mark.join(last, "book_id", "left").where((F.levenshtein("mark_key", "last_key") <= 1) | alone).select("chapter_id", "line_no")
+    marks = mark.join(last, "book_id", "left").where((F.levenshtein("mark_key", "last_key") <= 1) | alone).select("chapter_id", "row", "line_no")
     # where the book has no such name: the same head at the page edges of several chapters
-    again = head.where("cut = 1").groupBy("book_id", "head_key").agg(F.count_if(F.lit(True)).alias("times"), F.approx_count_distinct("chapter_id").alias("in_chapters")).where("times > 2 and in_chapters > 1")
-    marks = marks.unionAll(head.where("cut = 1").join(again, ["book_id", "head_key"], "left_semi").select("chapter_id", "line_no"))
-    furniture = items.where("kind = 'furniture'").select("chapter_id", "line_no").unionAll(heads).unionAll(marks).distinct()
+    again = head.where("cut = 1").groupBy("book_id", "head_key").agg(F.count("*").alias("times"), F.min("chapter_id").alias("lo"), F.max("chapter_id").alias("hi")).where("times > 2 and lo <> hi")
+    marks = marks.unionAll(head.where("cut = 1").join(again, ["book_id", "head_key"], "left_semi").select("chapter_id", "row", "line_no"))
+    furniture = items.where("kind = 'furniture'").select("chapter_id", "row", "line_no").unionAll(heads).unionAll(marks).distinct()
 
-    broken = items.where("kind = 'broken'").select("chapter_id", "line_no")
+    broken = items.where("kind = 'broken'").select("chapter_id", "row", "line_no")
 
     # of a word broken over two lines, the line that holds the misread character
-    asked = items.where("kind in ('misread', 'word')").withColumnRenamed("key", "word").join(fixes, "word", "left").where("kind = 'misread' or fix is not null")
-    place = F.coalesce("place", F.regexp_instr("word", F.lit("[0-9|!]")) - 1)
-    misread = asked.select("chapter_id", F.when(place >= F.col("cut"), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), "word", "fix")
+    asked = items.where("kind = 'word'").withColumnRenamed("key", "word").join(fixes, "word")
+    misread = asked.select("chapter_id", "row", F.when(F.col("place") >= F.col("cut"), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), "word", "fix")
     found = (
         broken.withColumn("kind", F.lit("broken"))
-        .unionAll(misread.select("chapter_id", "line_no", F.lit("misread").alias("kind")))
+        .unionAll(misread.select("chapter_id", "row", "line_no", F.lit("misread").alias("kind")))
         .distinct()
-        .join(furniture, ["chapter_id", "line_no"], "left_anti")
+        .join(furniture, ["chapter_id", "row", "line_no"], "left_anti")
         .unionAll(furniture.withColumn("kind", F.lit("furniture")))
     )
     return found, misread
@@ -396,10 +397,11 @@ def repair_scans(chapters: DataFrame, books: DataFrame) -> DataFrame:
     Texts without findings come out as they are, null stays null; each repeated chapter gives its own.
     """
     found, misread = scan_findings(chapters, books)
-    marks = found.groupBy("chapter_id").agg(F.collect_list(F.struct("line_no", "kind")).alias("marks"))
-    fixes = misread.where("fix is not null").distinct().groupBy("chapter_id").agg(F.collect_list(F.struct("line_no", "word", "fix")).alias("fixes"))
+    marks = found.groupBy("chapter_id", "row").agg(F.collect_list(F.struct("line_no", "kind")).alias("marks"))
+    fixes = misread.distinct().groupBy("chapter_id", "row").agg(F.collect_list(F.struct("line_no", "word", "fix")).alias("fixes"))
     schema = T.StructType([chapters.schema["chapter_id"], T.StructField("repaired", T.StringType())])
-    joined = chapters.select("chapter_id", F.col("text").cast("string").alias("__text")).join(marks, "chapter_id", "left").join(fixes, "chapter_id", "left")
+    texts = chapters.select("chapter_id", F.col("text").cast("string").alias("__text")).withColumn("row", F.xxhash64("__text"))
+    joined = texts.join(marks, ["chapter_id", "row"], "left").join(fixes, ["chapter_id", "row"], "left")
 
     def make():
         return lambda ids, texts, m, f: {"chapter_id": ids, "repaired": [paragraphs(t, a or [], b or []) if t is not None else None for t, a, b in zip(texts, m, f, strict=True)]}

@@ -32,7 +32,7 @@ def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page furniture, broken words and misread characters by line."""
-    return p2_scans.scan_findings(*_scans(spark, sf_dir))[0].select("chapter_id", "line_no", "kind")
+    return p2_scans.scan_findings(*_scans(spark, sf_dir))[0].select("chapter_id", "line_no", "kind").distinct()
 
 
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,23 @@ def test_p2_broken_words_are_corrected():
     assert p2.paragraphs(text, marks, fixes) == "He swept the Chimney, and the gates were shut by a hinge and so on"
 
 
+def test_p2_texts_of_one_id_stay_apart(spark):
+    """Two different texts under one chapter_id: each is repaired by its own findings."""
+    plain = " ".join(["\n".join(WRAPPED).replace("\n", " "), "millpond " * 20] * 3)
+    broken = "\n".join([*WRAPPED[:4], "built the house near the mill-", "pond and nothing more."])
+    other = "\n".join([*WRAPPED[:4], "built the house near the pond-", "side and nothing more."])
+    rows = [(1, 1, broken, None, None), (1, 1, WRAPPED[0] + "\n" + broken, None, None), (2, 1, plain, None, None), (3, 1, other, None, None)]
+    chapters = spark.createDataFrame(rows, "chapter_id long, book_id long, text string, page_start int, page_end int")
+    got = [r["repaired"] for r in p2.repair_scans(chapters, books(spark)).where("chapter_id = 1").collect()]
+    assert len(got) == 2 and all("near the millpond and" in x for x in got)
+
+
+def test_p2_wide_and_short_texts():
+    """Neither wide lines nor few of them keep a text from being looked at."""
+    wide = [" ".join(["the old man who had been there before and walked on"] * 3)] * 4
+    assert p2.is_wrapped(wide) and p2.is_wrapped(WRAPPED[:2]) and not p2.is_wrapped(WRAPPED[:1]) and not p2.is_wrapped([])
+
+
 def test_p2_anagram_hash(spark):
     words = ["lamp", "palm", "ri", "n", "größe"]
     got = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(p2.anagram_hash(F.col("w"))).collect()]
