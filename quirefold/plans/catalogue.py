@@ -51,6 +51,8 @@ def _text_query(name: str, of: Callable[[Column], Column], sql: Callable[[str],
 NOISY_SQL = "concat_ws(chr(10), 'some-', '   word', '12', ' 3 ', 'Yes', 'No.', 'a — b… ‘c’', '', '', '', 'tail  ', text)"
 SHORTS = "('Dr. Gen. St. no. etc. PA, NY e.g. i.e. approx. vs. TX ' || text)"
 
+COUNTED = "('In 1984 and 2029-2030 v1.2, V2.10x, v3.4.5 and v1. Dr. 3.14 of 3.05 is the 22nd, 111TH and 1000000th; 1984.5, 192.168.1.1, 1,984 of 1234567890.\n\n\n' || text)"
+
 
 def _noisy(c: Column) -> Column:
     return F.expr(NOISY_SQL)
@@ -63,9 +65,9 @@ _text_query("clean_text", clean.clean_text, o.clean, _noisy, NOISY_SQL)
 _text_query("expand_abbreviations", speech.expand_abbreviations, o.abbreviations, lambda c: F.expr(SHORTS), SHORTS)
 _text_query("inject_pauses", speech.inject_pauses, o.pauses)
 _text_query("final_cleanup", speech.final_cleanup, o.final)
-_text_query("protect_years_versions", lambda c: speech.unprotect(speech.protect(c)), lambda t: t)
-_text_query("numbers_in_text", speech.convert_numbers, None)
-_text_query("speech_pipeline", lambda c: speech.preprocess_for_speech(clean.clean_text(c)), None)
+_text_query("protect_years_versions", speech.protect, o.protected, lambda c: F.expr(COUNTED), COUNTED)
+_text_query("numbers_in_text", speech.convert_numbers, o.numbers, lambda c: F.expr(COUNTED), COUNTED)
+_text_query("speech_pipeline", lambda c: speech.preprocess_for_speech(clean.clean_text(c)), o.spoken, lambda c: F.expr(COUNTED), COUNTED)
 _text_query("word_count", naming.word_count, o.word_count)
 
 
@@ -394,19 +396,31 @@ def bundle_gate(spark, sf_dir):
     return timeline.bundles(_latest_chapters(spark, sf_dir))
 
 
-@query()
+LATEST_TEXT = f"SELECT book_id, chapter_idx, {o.spoken('text')} AS text FROM {LATEST_SQL}"
+
+
+def _chunk_rows(source: str, most: int) -> str:
+    """Chunks of the relation source (book_id, chapter_idx, text)."""
+    inner = f"SELECT book_id, chapter_idx, {o.chunks('text', most)} AS s FROM ({source}) WHERE text IS NOT NULL"
+    return f"SELECT book_id, chapter_idx, CAST(i - 1 AS INTEGER) AS chunk_idx, s[i] AS text, CAST(length(s[i]) AS INTEGER) AS n_chars, {o.word_count('s[i]')} AS n_words, 'chunk_' || lpad(CAST(i - 1 AS VARCHAR), 4, '0') || '.wav' AS file FROM (SELECT book_id, chapter_idx, s, unnest(generate_series(1, len(s))) AS i FROM ({inner}))"
+
+
+@query(_chunk_rows(f"SELECT * FROM ({LATEST_TEXT}) c WHERE NOT EXISTS (SELECT 1 FROM render r WHERE r.book_id = c.book_id AND r.chapter_idx = c.chapter_idx)", 1000))
 def dry_run(spark, sf_dir):
     """The whole dry run over the latest chapters that have no recording."""
     return run(_latest_chapters(spark, sf_dir), done=read(spark, sf_dir, "render"))
 
 
-@query()
+@query(LATEST_TEXT)
 def spoken_chapters(spark, sf_dir):
     """Every chapter's text as it is read."""
     return spoken(_latest_chapters(spark, sf_dir)).select("book_id", "chapter_idx", "text")
 
 
-@query()
+@query(
+    f"WITH c AS ({_chunk_rows(f'SELECT book_id, chapter_idx, text FROM {LATEST_SQL}', 1000)})"
+    " SELECT book_id, chapter_idx, CAST(round(sum(n_words * 0.06), 3) AS DOUBLE) AS duration_s, CAST(sum(n_words) AS BIGINT) AS tokens, CAST(sum(44 + greatest(8, n_words * 8)) AS BIGINT) AS n_bytes FROM c GROUP BY ALL"
+)
 def render_usage(spark, sf_dir):
     """Chunks rendered by the deterministic stand-in: seconds and tokens of each chapter."""
     sound = synth.render(chunked(_latest_chapters(spark, sf_dir)))

@@ -96,6 +96,48 @@ def ordinal(words: str) -> str:
     return f"left({words}, length({words}) - length({last})) || CASE {last} {cases} ELSE CASE WHEN {last} LIKE '%y' THEN left({last}, length({last}) - 1) || 'ieth' ELSE {last} || 'th' END END"
 
 
+# Letters that stand for nothing in the texts: around what is masked, for its full stops, around decimals.
+HELD, POINT, DONE = "ꙮ", "ꙭ", "ꙩ"
+
+
+def masked(t: str) -> str:
+    """Years and versions between HELD, which is a letter, so that no number rule sees a word's border there."""
+    for _ in range(2):  # neighbours share the border between them
+        t = sub(t, rf"(^|{EDGE})(1[89][0-9]{{2}}|20[012][0-9])($|{EDGE})", rf"\1_{HELD}\2{HELD}_\3")
+    for _ in range(2):
+        t = sub(t, rf"(?i)(^|{EDGE})(v[0-9](?:[0-9.]*[0-9])?)(\.*)($|[^\p{{L}}\p{{N}}_.])", rf"\1_{HELD}\2{HELD}_\3\4")
+        t = sub(t, rf"(?i)(^|{EDGE})(v[0-9][0-9.]*\.)([0-9]*(?:[\p{{L}}_]|[^0-9{EDGE[2:-1]}]))", rf"\1_{HELD}\2{HELD}_\3")
+    return t
+
+
+def protected(t: str) -> str:
+    """What the masks look like: digits of the private use area between underscores."""
+    digits = "".join(chr(0xE000 + i) for i in range(10))
+    return f"list_aggregate(list_transform(regexp_extract_all({masked(t)}, {q(f'{HELD}[^{HELD}]*{HELD}|[^{HELD}]+')}), lambda x: CASE WHEN starts_with(x, {q(HELD)}) THEN translate(replace(x, {q(HELD)}, ''), '0123456789', {q(digits)}) ELSE x END), 'string_agg', '')"
+
+
+def numbers(t: str) -> str:
+    """Words for decimals, ordinals and integers: what is a whole word of digits is looked at as a word."""
+    t = masked(t)
+    for _ in range(12):  # full stops of a version
+        t = sub(t, rf"(?i)({HELD}v[0-9{POINT}]*)\.([0-9.]*{HELD})", rf"\1{POINT}\2")
+    for _ in range(2):
+        t = sub(t, rf"(^|{EDGE})([0-9]+)\.([0-9]+)($|{EDGE})", rf"\1{DONE}\2{DONE} point {DONE}\3{DONE}\4")
+    t = f"replace({t}, {q(DONE)}, '')"
+    one = lambda of, value: f"list_transform([TRY_CAST({value} AS BIGINT)], lambda n: {of})[1]"
+    spoken = one(cardinal("n"), "x")
+    counted = one(f"list_transform([{cardinal('n')}], lambda c: {ordinal('c')})[1]", "left(x, length(x) - 2)")
+    word = f"CASE WHEN regexp_full_match(x, '[0-9]{{1,9}}') THEN coalesce({spoken}, x) WHEN regexp_full_match(x, '(?i)[0-9]+(st|nd|rd|th)') THEN coalesce({counted}, x) ELSE x END"
+    parts = rf"[\p{{L}}\p{{N}}_]+|{EDGE}+"
+    t = f"CASE WHEN {t} = '' THEN '' ELSE array_to_string(list_transform(regexp_extract_all({t}, {q(parts)}), lambda x: {word}), '') END"
+    return f"replace(replace(replace({t}, {q('_' + HELD)}, ''), {q(HELD + '_')}, ''), {q(POINT)}, '.')"
+
+
+def spoken(t: str) -> str:
+    """All of the cleaning and the stages for reading aloud."""
+    return final(pauses(numbers(abbreviations(clean(t)))))
+
+
 def sentences(t: str) -> str:
     return f"string_split(regexp_replace({t}, {q(f'([.!?]){WS}+')}, '\\1' || chr(1), 'g'), chr(1))"
 
@@ -111,10 +153,8 @@ def chunks(t: str, most: int) -> str:
     joined = lambda a, x: strip(f"({a}.cur || ' ' || {x}.cur)")
     inner = f"list_reduce({as_state(clauses('x.cur'))}, lambda b, y: CASE WHEN {fits('b', 'y')} THEN {{'out': b.out, 'cur': {joined('b', 'y')}}} ELSE {{'out': {flush('b')}, 'cur': y.cur}} END, {{'out': {flush('a')}, 'cur': ''}})"
     outer = f"list_reduce({as_state(sentences(t))}, lambda a, x: CASE WHEN {fits('a', 'x')} THEN {{'out': a.out, 'cur': {joined('a', 'x')}}} WHEN length(x.cur) > {most} THEN {inner} ELSE {{'out': {flush('a')}, 'cur': x.cur}} END, {{'out': CAST([] AS VARCHAR[]), 'cur': ''}})"
-    pieces = f"flatten(list_transform(list_append(st.out, st.cur), lambda c: list_transform(generate_series(0, (greatest(length(c), 1) - 1) // {most}), lambda i: {strip(f'substring(c, CAST(i * {most} + 1 AS BIGINT), {most})')})))"
     # a chunk that needs no hard cut stays as it is; strip changes it not, as packing stripped it, unless a lone sentence began or ended blank
     whole = f"flatten(list_transform(list_append(st.out, st.cur), lambda c: CASE WHEN length(c) <= {most} THEN [c] ELSE list_transform(generate_series(0, (greatest(length(c), 1) - 1) // {most}), lambda i: {strip(f'substring(c, CAST(i * {most} + 1 AS BIGINT), {most})')}) END))"
-    del pieces
     return f"(SELECT list_filter({whole}, lambda c: {strip('c')} <> '') FROM (SELECT {outer} AS st))"
 
 
