@@ -42,7 +42,7 @@ STATES = {"PA": "Pennsylvania", "CA": "California", "NY": "New York", "TX": "Tex
 DIGITS = "0123456789"
 #: Digits that no number rule sees, while a year or version is masked.
 MASKED = "".join(chr(0xE000 + i) for i in range(10))
-# The look ahead comes first: it turns most positions away at the least cost.
+# Patterns of years, versions and numbers. The look ahead comes first: it turns most positions away at the least cost.
 YEAR = rf"(?=[12]){LEFT}(?:1[89][0-9]{{2}}|20[012][0-9]){RIGHT}"
 # the border of a version that ends in a full stop is a letter or digit behind it
 VERSION = rf"(?i)(?=v[0-9]){LEFT}v[0-9][0-9.]*(?:(?<=[0-9]){RIGHT}|(?<=\.)(?=[\p{{L}}\p{{N}}_]))"

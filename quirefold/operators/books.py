@@ -33,14 +33,20 @@ def first_metadata(meta: DataFrame) -> DataFrame:
     return meta.groupBy("book_id", "field").agg(F.min_by("value", "ord").alias("value"))
 
 
+def counted(chapters: DataFrame) -> DataFrame:
+    """chapters with n_words instead of their text, so that no text goes into an exchange; as they are if they have n_words."""
+    return chapters if "n_words" in chapters.columns else chapters.withColumn("n_words", F.coalesce(word_count("text"), F.lit(0))).drop("text")
+
+
 def totals(chapters: DataFrame) -> DataFrame:
-    """(book_id, n_chapters, n_words)."""
-    return chapters.groupBy("book_id").agg(F.count("*").alias("n_chapters"), F.sum(F.coalesce(word_count("text"), F.lit(0))).alias("n_words"))
+    """(book_id, n_chapters, n_words); chapters has text or n_words."""
+    return counted(chapters).groupBy("book_id").agg(F.count("*").alias("n_chapters"), F.sum("n_words").alias("n_words"))
 
 
 def summary(books: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(book_id, summary): the printed overview of each book with chapters."""
-    words = F.coalesce(word_count("text"), F.lit(0))
+    """(book_id, summary): the printed overview of each book with chapters; chapters has text or n_words."""
+    chapters = counted(chapters)
+    words = F.col("n_words")
     line = F.concat(F.lit("  ["), F.lpad(F.col("chapter_idx").cast("string"), F.greatest(F.length(F.col("chapter_idx").cast("string")), F.lit(2)), F.lit("0")), F.lit("] "), F.coalesce("title", F.lit("")), F.lit(" ("), thousands(words), F.lit(" words)"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("chapter_idx", line.alias("e")))), lambda x: x["e"])
     grouped = chapters.groupBy("book_id").agg(F.count("*").alias("n"), F.sum(words).alias("w"), F.array_join(parts, "\n").alias("ls"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clean_text
 from ..functions.html import heading, href_base, html_to_text
 from ..functions.naming import chapter_title, word_count
+from .lineage import checkpointed
 from .scan import running_sum
 
 LEAST_WORDS = 50
@@ -42,13 +43,14 @@ def spine_chapters(spine: DataFrame, items: DataFrame, links: DataFrame, least:
 
     Title: that of the table of contents, else the first heading, else `Chapter n`; empty ones fall through.
     """
-    documents = spine.join(items.where(F.col("media_type") == DOCUMENT), ["book_id", "item_id"])
-    cleaned = documents.select("book_id", "ord", "name", heading("content").alias("own"), clean_text(html_to_text("content")).alias("text"))
-    kept = cleaned.where(word_count("text") >= least)
-    numbers = running_sum(kept.select("book_id", "ord"), "book_id", "ord", F.lit(1), "chapter_idx").withColumn("chapter_idx", F.col("chapter_idx").cast("int"))
-    titled = kept.join(numbers, ["book_id", "ord"]).join(toc_titles(links).withColumnsRenamed({"href": "name", "title": "listed"}), ["book_id", "name"], "left")
+    read = items.where(F.col("media_type") == DOCUMENT).select("book_id", "item_id", "name", heading("content").alias("own"), clean_text(html_to_text("content")).alias("text"))
+    # each document is read once; numbers need the order of those that are long enough, without their texts
+    long = checkpointed(read.where(word_count("text") >= least))
+    order = spine.join(long.select("book_id", "item_id", "name", "own"), ["book_id", "item_id"])
+    numbers = running_sum(order, "book_id", "ord", F.lit(1), "chapter_idx").withColumn("chapter_idx", F.col("chapter_idx").cast("int"))
+    named = numbers.join(toc_titles(links).withColumnsRenamed({"href": "name", "title": "listed"}), ["book_id", "name"], "left")
     title = F.coalesce(F.nullif("listed", F.lit("")), "own", chapter_title("chapter_idx"))
-    return titled.select("book_id", "chapter_idx", title.alias("title"), "text")
+    return named.select("book_id", "item_id", "chapter_idx", title.alias("title")).join(long.select("book_id", "item_id", "text"), ["book_id", "item_id"]).select("book_id", "chapter_idx", "title", "text")
 
 
 def fallback_chapters(chapters: DataFrame, items: DataFrame, books: DataFrame) -> DataFrame:

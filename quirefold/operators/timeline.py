@@ -13,12 +13,26 @@ def duration(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).try_cast("double"), F.lit(0.0))
 
 
-def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Of the rows with the same keys the one loaded last: doubled and late rows count once."""
-    rest = [c for c in df.columns if c not in keys]
+def latest(df: DataFrame, keys: list[str], by: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Of the rows with the same keys the one loaded last, with the columns in keep (all others by default): doubled and late rows count once.
+
+    What is kept goes through the exchange: keep names and counts, not texts; of texts see latest_texts().
+    """
+    rest = keep if keep is not None else [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("__row")).select(*keys, "__row.*")
 
 
+def latest_texts(df: DataFrame, keys: list[str], by: list[str], id: str = "chapter_id") -> DataFrame:
+    """As latest(), for rows with long texts and an id each: the few rows that a later one replaces are taken out, the texts stay where they are.
+
+    Keys, order and id alone are aggregated; the anti join broadcasts the ids that go as long as they are few.
+    """
+    slim = df.select(*keys, *dict.fromkeys([*by, id]))
+    last = slim.groupBy(*keys).agg(F.count("*").alias("__n"), F.max_by(id, F.struct(*by)).alias("__last")).where("__n > 1").drop("__n")
+    gone = slim.join(last, keys).where(F.col(id) != F.col("__last")).select(id)
+    return df.join(gone, id, "left_anti")
+
+
 def chapter_markers(chapters: DataFrame, renders: DataFrame) -> DataFrame:
     """(book_id, chapter_idx, title, start_ms, end_ms): where each rendered chapter lies in its book's recording.
 

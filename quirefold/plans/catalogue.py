@@ -160,9 +160,17 @@ def metadata_first(spark, sf_dir):
     return books.first_metadata(meta)
 
 
+CHAPTER_KEYS, CHAPTER_ORDER = ["book_id", "chapter_idx"], ["loaded_at", "chapter_id"]
+
+
 def _latest_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the rows of a chapter the one loaded last."""
-    return timeline.latest(_chapters(spark, sf_dir), ["book_id", "chapter_idx"], ["loaded_at", "chapter_id"])
+    """Of the rows of a chapter the one loaded last, with its text."""
+    return timeline.latest_texts(_chapters(spark, sf_dir), CHAPTER_KEYS, CHAPTER_ORDER)
+
+
+def _latest_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without texts: titles and numbers of words."""
+    return timeline.latest(books.counted(_chapters(spark, sf_dir)), CHAPTER_KEYS, CHAPTER_ORDER, ["title", "n_words"])
 
 
 LATEST_SQL = "(SELECT * FROM chapter QUALIFY row_number() OVER (PARTITION BY book_id, chapter_idx ORDER BY loaded_at DESC, chapter_id DESC) = 1)"
@@ -170,7 +178,7 @@ LATEST_SQL = "(SELECT * FROM chapter QUALIFY row_number() OVER (PARTITION BY boo
 
 @query(f"SELECT book_id, count(*) AS n_chapters, CAST(sum(coalesce({o.word_count('text')}, 0)) AS BIGINT) AS n_words FROM {LATEST_SQL} GROUP BY book_id")
 def book_totals(spark, sf_dir):
-    return books.totals(_latest_chapters(spark, sf_dir))
+    return books.totals(_latest_titles(spark, sf_dir))
 
 
 @query(
@@ -179,7 +187,7 @@ def book_totals(spark, sf_dir):
     " SELECT book_id, 'Book:     ' || title || chr(10) || 'Author:   ' || author || chr(10) || 'Source:   ' || regexp_extract(source_path, '([^/]*)$', 1) || chr(10) || 'Chapters: ' || n || chr(10) || 'Words:    ' || format('{:,}', w) || chr(10) || ls AS summary FROM c JOIN d USING (book_id)"
 )
 def book_summary(spark, sf_dir):
-    return books.summary(read(spark, sf_dir, "book"), _latest_chapters(spark, sf_dir))
+    return books.summary(read(spark, sf_dir, "book"), _latest_titles(spark, sf_dir))
 
 
 @query("SELECT chapter_id, chapter_idx, title FROM chapter WHERE chapter_idx = 2")
@@ -285,25 +293,55 @@ def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("book_id"), (e % 7).cast("int").alias("page_idx"), e.cast("int").alias("ord"), size.alias("size"), (e % 11).cast("double").alias("top"), (e % 13).cast("double").alias("x0"), F.char(F.lit(97) + e % 26).alias("text"))
 
 
-@query(
-    f"WITH g AS ({GLYPHS_SQL}), c AS (SELECT book_id, round_even(size, 0) AS r, count(*) AS n, min((page_idx, ord)) AS seen FROM g GROUP BY ALL),"
-    " b AS (SELECT book_id, first(r ORDER BY n DESC, seen) AS body FROM c GROUP BY book_id), l AS (SELECT g.* FROM g JOIN b USING (book_id) WHERE size >= body * 1.4),"
-    " f AS (SELECT *, min(top) OVER (PARTITION BY book_id, page_idx) AS first_top FROM l)"
-    f" SELECT * FROM (SELECT book_id, page_idx, {o.strip('t')} AS title FROM (SELECT book_id, page_idx, string_agg(text, '' ORDER BY top, x0, ord) AS t FROM f WHERE abs(top - first_top) < 5 GROUP BY ALL)) WHERE length(title) > 2"
-)
+def _font_sql(glyphs: str) -> str:
+    return (
+        f"WITH g AS ({glyphs}), c AS (SELECT book_id, round_even(size, 0) AS r, count(*) AS n, min((page_idx, ord)) AS seen FROM g GROUP BY ALL),"
+        " b AS (SELECT book_id, first(r ORDER BY n DESC, seen) AS body FROM c GROUP BY book_id), l AS (SELECT g.* FROM g JOIN b USING (book_id) WHERE size >= body * 1.4),"
+        " f AS (SELECT *, min(top) OVER (PARTITION BY book_id, page_idx) AS first_top FROM l)"
+        f" SELECT * FROM (SELECT book_id, page_idx, {o.strip('t')} AS title FROM (SELECT book_id, page_idx, string_agg(text, '' ORDER BY top, x0, ord) AS t FROM f WHERE abs(top - first_top) < 5 GROUP BY ALL)) WHERE length(title) > 2"
+    )
+
+
+@query(_font_sql(GLYPHS_SQL))
 def font_headings(spark, sf_dir):
     return segment.font_headings(_glyphs(spark, sf_dir))
 
 
+# A third of the books has glyphs, with a large first line on every fourth page.
+PAGE_GLYPHS = (
+    "SELECT book_id, page_idx, CAST(page_idx * 100 + i AS INTEGER) AS ord, CASE WHEN page_idx % 4 = 1 AND i < 6 THEN 18.0e0 ELSE 10.0e0 END AS size,"
+    " CASE WHEN i < 6 THEN 1.0e0 ELSE 20.0e0 + i END AS top, CAST(i AS DOUBLE) AS x0, chr(CAST(96 + i AS INTEGER)) AS text FROM ({}) WHERE book_id % 3 = 0"
+)
+SQL_GLYPHS = PAGE_GLYPHS.format("SELECT book_id, page_idx, unnest(generate_series(1, 12)) AS i FROM (SELECT DISTINCT book_id, page_idx FROM page)")
+
+
+def _page_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "page").select("book_id", "page_idx").distinct().withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    i, large = F.col("i"), (F.col("page_idx") % 4 == 1) & (F.col("i") < 6)
+    return rows.where("book_id % 3 = 0").select("book_id", "page_idx", (F.col("page_idx") * 100 + i).cast("int").alias("ord"), F.when(large, 18.0).otherwise(10.0).alias("size"), F.when(i < 6, 1.0).otherwise(20.0 + i).alias("top"), i.cast("double").alias("x0"), F.char(96 + i).alias("text"))
+
+
+BOOK_SQL = f"WITH {PAGES_SQL}, t AS (SELECT book_id, string_agg(text, chr(10) || chr(10) ORDER BY page_idx) AS text FROM p GROUP BY book_id) SELECT book_id, CAST(1 AS INTEGER) AS chapter_idx, 'Book' AS title, {o.clean('text')} AS text, CAST(NULL AS INTEGER) AS page_start, CAST(NULL AS INTEGER) AS page_end FROM t"
+
+
 @query(
-    f"WITH k AS ({BOOKMARK_SQL}), m AS ({_starts_sql(PATTERN_STARTS)}), s AS ({PARTS_SQL}),"
-    " a AS (SELECT *, 'bookmarks' AS method FROM k UNION ALL SELECT *, 'pattern' FROM m WHERE book_id NOT IN (SELECT book_id FROM k) UNION ALL SELECT *, 'page_split' FROM s WHERE book_id NOT IN (SELECT book_id FROM k UNION SELECT book_id FROM m)) SELECT * FROM a"
+    f"WITH k AS ({BOOKMARK_SQL}), f AS ({_starts_sql(_font_sql(SQL_GLYPHS))}), m AS ({_starts_sql(PATTERN_STARTS)}), s AS ({PARTS_SQL}),"
+    " a AS (SELECT *, 'bookmarks' AS method FROM k UNION ALL SELECT *, 'font_size' FROM f WHERE book_id NOT IN (SELECT book_id FROM k) UNION ALL SELECT *, 'pattern' FROM m WHERE book_id NOT IN (SELECT book_id FROM k UNION SELECT book_id FROM f)"
+    " UNION ALL SELECT *, 'page_split' FROM s WHERE book_id NOT IN (SELECT book_id FROM k UNION SELECT book_id FROM f UNION SELECT book_id FROM m)) SELECT * FROM a"
 )
 def chapter_cascade(spark, sf_dir):
-    return segment.cascade(read(spark, sf_dir, "page"), read(spark, sf_dir, "toc"))
+    """All four methods in their order."""
+    return segment.cascade(read(spark, sf_dir, "page"), read(spark, sf_dir, "toc"), _page_glyphs(spark, sf_dir))
 
 
-@query(f"WITH {PAGES_SQL}, t AS (SELECT book_id, string_agg(text, chr(10) || chr(10) ORDER BY page_idx) AS text FROM p GROUP BY book_id) SELECT book_id, CAST(1 AS INTEGER) AS chapter_idx, 'Book' AS title, {o.clean('text')} AS text, CAST(NULL AS INTEGER) AS page_start, CAST(NULL AS INTEGER) AS page_end FROM t")
+@query(f"WITH m AS ({_starts_sql(PATTERN_STARTS)}), b AS ({BOOK_SQL}) SELECT *, 'pattern' AS method FROM m UNION ALL SELECT *, 'none' FROM b WHERE book_id NOT IN (SELECT book_id FROM m)".replace(PAGES_SQL, MARKED_PAGES.replace("page_idx % 5 = 2", "page_idx % 5 = 2 AND book_id % 2 = 0")))
+def cascade_fallback(spark, sf_dir):
+    """An unknown method is passed over; books without headings become one chapter."""
+    plain, marked = segment.unique_pages(read(spark, sf_dir, "page")), _marked_pages(spark, sf_dir)
+    return segment.cascade(plain.where("book_id % 2 <> 0").unionByName(marked.where("book_id % 2 = 0")), methods=("unknown", "pattern"))
+
+
+@query(BOOK_SQL)
 def whole_book(spark, sf_dir):
     return segment.whole_book(read(spark, sf_dir, "page"))
 
@@ -314,9 +352,9 @@ ITEMS_SQL = f"(SELECT book_id, CAST(chapter_idx AS VARCHAR) AS item_id, chapter_
 LINKS_SQL = "(SELECT book_id, ord, 'c' || (page % 6) || '.xhtml#p' || page AS href, title FROM (SELECT DISTINCT book_id, ord, title, page FROM toc))"
 
 
-def _spine(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _spine(spark: SparkSession, sf_dir: str, page: str = PAGE_SQL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spine, manifest and links made from chapters and tables of contents."""
-    items = _latest_chapters(spark, sf_dir).select("book_id", F.col("chapter_idx").cast("string").alias("item_id"), F.col("chapter_idx").alias("ord"), F.expr("'c' || (chapter_idx % 6) || '.xhtml'").alias("name"), F.when(F.col("chapter_idx") % 7 == 0, "image/png").otherwise(spine.DOCUMENT).alias("media_type"), F.expr(PAGE_SQL).alias("content"))
+    items = _latest_chapters(spark, sf_dir).select("book_id", F.col("chapter_idx").cast("string").alias("item_id"), F.col("chapter_idx").alias("ord"), F.expr("'c' || (chapter_idx % 6) || '.xhtml'").alias("name"), F.when(F.col("chapter_idx") % 7 == 0, "image/png").otherwise(spine.DOCUMENT).alias("media_type"), F.expr(page).alias("content"))
     links = read(spark, sf_dir, "toc").select("book_id", "ord", "title", "page").distinct().select("book_id", "ord", F.expr("'c' || (page % 6) || '.xhtml#p' || page").alias("href"), "title")
     return items.select("book_id", "ord", "item_id"), items.drop("ord"), links
 
@@ -341,15 +379,39 @@ def spine_chapters(spark, sf_dir):
     return spine.spine_chapters(*_spine(spark, sf_dir))
 
 
+def _short(sql: str) -> str:
+    """Of every fifth book the documents are too short for a chapter."""
+    return sql.replace("replace(replace(text,", "replace(replace(CASE WHEN book_id % 5 = 0 THEN left(text, 60) ELSE text END,")
+
+
 @query(
-    f"WITH c AS ({SPINE_SQL}), r AS (SELECT book_id, string_agg({o.html_text('content')}, ' ' ORDER BY item_id) AS text FROM {ITEMS_SQL} WHERE media_type = 'application/xhtml+xml' AND book_id NOT IN (SELECT book_id FROM c) GROUP BY book_id)"
+    f"WITH c AS ({_short(SPINE_SQL)}), r AS (SELECT book_id, string_agg({o.html_text('content')}, ' ' ORDER BY item_id) AS text FROM {_short(ITEMS_SQL)} WHERE media_type = 'application/xhtml+xml' AND book_id NOT IN (SELECT book_id FROM c) GROUP BY book_id)"
     f" SELECT r.book_id, CAST(1 AS INTEGER) AS chapter_idx, b.title, {o.clean('r.text')} AS text FROM r JOIN book b USING (book_id)"
 )
 def epub_fallback(spark, sf_dir):
-    s, items, links = _spine(spark, sf_dir)
+    s, items, links = _spine(spark, sf_dir, _short(PAGE_SQL))
     return spine.fallback_chapters(spine.spine_chapters(s, items, links), items, read(spark, sf_dir, "book"))
 
 
+@query("SELECT DISTINCT book_id, ord, 'c' || page || '.xhtml' AS href, title FROM toc")
+def flatten_toc(spark, sf_dir):
+    """Tables of contents nested by two levels of sections, and their leaves again."""
+    leaf = F.struct("ord", F.expr("'c' || page || '.xhtml'").alias("href"), "title")
+    leaves = read(spark, sf_dir, "toc").groupBy("book_id").agg(F.collect_set(leaf).alias("all"))
+    part = lambda k: F.filter("all", lambda x: x["ord"] % 3 == k)
+    none, deep = (F.from_json(F.lit("[]"), f"array<struct<ord:int,href:string,title:string{more}>>") for more in ("", ",nodes:array<struct<ord:int,href:string,title:string>>"))
+
+    def section(title: str, nodes: Column) -> Column:
+        return F.array(F.struct(F.lit(-1).alias("ord"), F.lit("s").alias("href"), F.lit(title).alias("title"), nodes.alias("nodes")))
+
+    def open_leaves(nodes: Column, empty: Column) -> Column:
+        return F.transform(nodes, lambda x: F.struct(x["ord"].alias("ord"), x["href"].alias("href"), x["title"].alias("title"), empty.alias("nodes")))
+
+    inner = F.concat(open_leaves(part(1), none), F.filter(section("Inner", part(2)), lambda x: F.size(x["nodes"]) > 0))
+    nodes = F.concat(open_leaves(part(0), deep), F.filter(section("Outer", inner), lambda x: F.size(x["nodes"]) > 0))
+    return spine.flatten_toc(leaves.select("book_id", nodes.alias("nodes")))
+
+
 # -- Timeline and resume ----------------------------------------------------------------------
 
 RENDERS_SQL = "(SELECT * FROM render QUALIFY row_number() OVER (PARTITION BY book_id, chapter_idx ORDER BY loaded_at DESC, rendered_at DESC, path DESC) = 1)"
@@ -364,7 +426,7 @@ def _renders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MARKERS_SQL)
 def chapter_markers(spark, sf_dir):
-    return timeline.chapter_markers(_latest_chapters(spark, sf_dir), _renders(spark, sf_dir))
+    return timeline.chapter_markers(_latest_titles(spark, sf_dir), _renders(spark, sf_dir))
 
 
 @query(
@@ -372,7 +434,7 @@ def chapter_markers(spark, sf_dir):
     " SELECT g.book_id, ';FFMETADATA1' || chr(10) || 'title=' || coalesce(b.title, '') || chr(10) || 'artist=' || coalesce(b.author, '') || chr(10) || chr(10) || e AS document FROM g JOIN book b USING (book_id)"
 )
 def ffmetadata(spark, sf_dir):
-    markers = timeline.chapter_markers(_latest_chapters(spark, sf_dir), _renders(spark, sf_dir))
+    markers = timeline.chapter_markers(_latest_titles(spark, sf_dir), _renders(spark, sf_dir))
     return timeline.metadata_document(markers, read(spark, sf_dir, "book"))
 
 
@@ -393,7 +455,7 @@ def resume_manifest(spark, sf_dir):
 
 @query(f"SELECT book_id, count(*) AS n_chapters FROM {LATEST_SQL} GROUP BY book_id HAVING count(*) > 1")
 def bundle_gate(spark, sf_dir):
-    return timeline.bundles(_latest_chapters(spark, sf_dir))
+    return timeline.bundles(_latest_titles(spark, sf_dir))
 
 
 LATEST_TEXT = f"SELECT book_id, chapter_idx, {o.spoken('text')} AS text FROM {LATEST_SQL}"
