@@ -65,6 +65,25 @@ def voice_reference(requests: DataFrame, voices: DataFrame, default: str = "defa
     return asked.join(dim, "__name", "left").drop("__name")
 
 
+def voice_problems(requests: DataFrame, voices: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(book_id, voice, problem) of requests whose voice is unknown, or whose reference is not among files (path): these are read in the default voice.
+
+    The caller decides whether to warn or to stop.
+    """
+    dim = F.broadcast(voices.select(F.col("name").alias("voice"), F.nullif("reference_audio", F.lit("")).alias("reference")))
+    asked = requests.where("voice is not null and voice <> ''").join(dim.withColumn("known", F.lit(True)), "voice", "left")
+    problem = F.when(F.col("known").isNull(), "unknown voice")
+    if files is not None:
+        asked = asked.join(files.select(F.col("path").alias("reference"), F.lit(True).alias("there")).distinct(), "reference", "left")
+        problem = problem.when(F.col("reference").isNotNull() & F.col("there").isNull(), "missing reference")
+    return asked.select("book_id", "voice", problem.alias("problem")).where("problem is not null")
+
+
+def usage_report(calls: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(book_id, tokens, n_calls) by book, and with a null book the sum of all: what was used, and so what is paid for."""
+    return calls.rollup("book_id").agg(F.coalesce(F.sum(F.coalesce(tokens, F.lit(0))), F.lit(0)).cast("long").alias("tokens"), F.count("*").alias("n_calls"))
+
+
 def usage(calls: DataFrame, tokens: str) -> DataFrame:
     """(total_tokens): the sum over all calls; missing counts are 0."""
     return calls.agg(F.coalesce(F.sum(F.coalesce(tokens, F.lit(0))), F.lit(0)).cast("long").alias("total_tokens"))

@@ -11,6 +11,8 @@ one ordered aggregate makes the chapters.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from ..functions.naming import part_title
 from .lineage import checkpointed
 from .scan import running_sum
 
+LOG = logging.getLogger("quirefold.segment")
+
 # What a chapter's heading line begins with.
 HEADING = (
     r"(?i)\A(?:"
@@ -153,7 +157,7 @@ def bookmark_chapters(pages: DataFrame, toc: DataFrame) -> DataFrame:
     Of entries on one page all but the last have an empty text, as have entries that point backwards.
     Books with fewer than two entries give nothing.
     """
-    top = top_entries(toc)
+    top = checkpointed(top_entries(toc))
     return assemble(pages, place_by_bookmarks(page_counts(pages), top.join(at_least_two(top), "book_id", "left_semi"))).drop("method")
 
 
@@ -198,7 +202,6 @@ def cascade(pages: DataFrame, toc: DataFrame | None = None, glyphs: DataFrame |
 
     Headings of pages are read once. Which method a book goes to, and which chapter each page, is settled
     on relations without texts, whatever the number of methods; the texts join once, at the end.
-    Books that none resolves become one chapter.
     """
     heads = checkpointed(page_heads(pages))
     counts = heads.groupBy("book_id").agg((F.max("page_idx") + 1).alias("n_pages"), F.count("heading").alias("pattern"))
@@ -209,9 +212,12 @@ def cascade(pages: DataFrame, toc: DataFrame | None = None, glyphs: DataFrame |
         counts = counts.join(top.groupBy("book_id").agg(F.count("*").alias("bookmarks")), "book_id", "left")
         named["bookmarks"] = F.col("bookmarks") >= 2
     if "font_size" in methods and glyphs is not None:
-        fonts = checkpointed(font_headings(glyphs))
-        counts = counts.join(fonts.groupBy("book_id").agg(F.count("*").alias("font_size")), "book_id", "left")
-        named["font_size"] = F.col("font_size") >= 2
+        try:
+            fonts = checkpointed(font_headings(glyphs))
+            counts = counts.join(fonts.groupBy("book_id").agg(F.count("*").alias("font_size")), "book_id", "left")
+            named["font_size"] = F.col("font_size") >= 2
+        except Exception as e:  # noqa: BLE001  whatever glyphs raise, the next method goes on
+            LOG.warning("font_size is passed over: %s", e)
     named["pattern"] = F.col("pattern") >= 2
     named["page_split"] = F.lit(True)
     method = F.when(F.lit(False), F.lit(""))

@@ -169,7 +169,12 @@ def _latest_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _latest_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same without texts: titles and numbers of words."""
+    """The same with their titles alone; texts are not read."""
+    return timeline.latest(_chapters(spark, sf_dir), CHAPTER_KEYS, CHAPTER_ORDER, ["title"])
+
+
+def _latest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with titles and numbers of words."""
     return timeline.latest(books.counted(_chapters(spark, sf_dir)), CHAPTER_KEYS, CHAPTER_ORDER, ["title", "n_words"])
 
 
@@ -178,7 +183,7 @@ LATEST_SQL = "(SELECT * FROM chapter QUALIFY row_number() OVER (PARTITION BY boo
 
 @query(f"SELECT book_id, count(*) AS n_chapters, CAST(sum(coalesce({o.word_count('text')}, 0)) AS BIGINT) AS n_words FROM {LATEST_SQL} GROUP BY book_id")
 def book_totals(spark, sf_dir):
-    return books.totals(_latest_titles(spark, sf_dir))
+    return books.totals(_latest_counts(spark, sf_dir))
 
 
 @query(
@@ -187,7 +192,7 @@ def book_totals(spark, sf_dir):
     " SELECT book_id, 'Book:     ' || title || chr(10) || 'Author:   ' || author || chr(10) || 'Source:   ' || regexp_extract(source_path, '([^/]*)$', 1) || chr(10) || 'Chapters: ' || n || chr(10) || 'Words:    ' || format('{:,}', w) || chr(10) || ls AS summary FROM c JOIN d USING (book_id)"
 )
 def book_summary(spark, sf_dir):
-    return books.summary(read(spark, sf_dir, "book"), _latest_titles(spark, sf_dir))
+    return books.summary(read(spark, sf_dir, "book"), _latest_counts(spark, sf_dir))
 
 
 @query("SELECT chapter_id, chapter_idx, title FROM chapter WHERE chapter_idx = 2")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.timeline import pending
+from ..operators.timeline import latest, pending
 from ..plans.pipeline import chunked, spoken
 from ..sources.settings import Settings
 
@@ -18,14 +19,26 @@ def chunk_stream(chapters: DataFrame, settings: Settings = Settings(), late: str
 
 
 def resume_into(chapters: DataFrame, target: str, checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:
-    """Writes each batch's chunks to `target`, without the chapters that are there already, so that a batch run again adds nothing."""
+    """Writes each batch's chunks to `target`/chunks, and then which chapters are done to `target`/done.
+
+    Chapters that are done, or whose chunks are there, are left out, so that a batch run again adds
+    nothing; a chapter without a chunk is done too. Of several rows of a chapter in a batch the latest counts.
+    """
+
+    def there(spark: SparkSession, part: str) -> DataFrame | None:
+        try:
+            return spark.read.parquet(f"{target}/{part}").select("book_id", "chapter_idx")
+        except AnalysisException:  # nothing written yet
+            return None
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(["book_id", "chapter_idx"])
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            rows = pending(rows, spark.read.parquet(target).select("book_id", "chapter_idx"))
-        chunked(spoken(rows, settings), size=settings.chunk_size).write.mode("append").parquet(target)
+        rows = latest(batch, ["book_id", "chapter_idx"], ["loaded_at", "text"])
+        for part in ("chunks", "done"):
+            if (done := there(batch.sparkSession, part)) is not None:
+                rows = pending(rows, done)
+        rows = rows.persist()
+        chunked(spoken(rows, settings), size=settings.chunk_size).write.mode("append").parquet(f"{target}/chunks")
+        rows.select("book_id", "chapter_idx").write.mode("append").parquet(f"{target}/done")
+        rows.unpersist()
 
     return chapters.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()

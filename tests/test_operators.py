@@ -7,9 +7,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.operators import books, scan, segment, spine, synth, timeline
+from quirefold.operators import audio, books, scan, segment, spine, synth, timeline
 from quirefold.plans import pipeline
-from quirefold.sources import ebooks, settings
+from quirefold.sources import ebooks, extract, settings
 from quirefold.streaming import chunks as stream
 
 PAGE = "book_id long, page_idx int, text string"
@@ -128,12 +128,12 @@ def test_books(spark):
         spark.createDataFrame([("a.doc",)], "p string").select(books.extractor("p", fail=True)).collect()
 
 
-def epub() -> bytes:
+def epub(text: str = "Hi") -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
         z.writestr("O/c.opf", '<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>T</dc:title><dc:creator>A</dc:creator></metadata><manifest><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="n" href="t.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine><itemref idref="a"/></spine></package>')
-        z.writestr("O/a.xhtml", "<html><body><p>Hi</p></body></html>")
+        z.writestr("O/a.xhtml", f"<html><body><p>{text}</p></body></html>")
         z.writestr("O/t.ncx", '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>S</text></navLabel><content src="a.xhtml"/><navPoint><navLabel><text>One</text></navLabel><content src="a.xhtml#p"/></navPoint></navPoint></navMap></ncx>')
     return out.getvalue()
 
@@ -173,12 +173,121 @@ def test_streams(spark, tmp_path):
     import datetime as d
 
     t = d.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(1, 1, "One", "A cat.", t), (1, 1, "One", "A cat.", t), (1, 2, "Two", "A dog.", t)], "book_id long, chapter_idx int, title string, text string, loaded_at timestamp_ntz")
+    df = spark.createDataFrame([(1, 1, "One", "A cat.", t), (1, 1, "One", "A cat.", t), (1, 2, "Two", "A dog.", t), (1, 3, "Three", "", t)], "book_id long, chapter_idx int, title string, text string, loaded_at timestamp_ntz")
     df.write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     for _ in range(2):
         stream.resume_into(source, str(tmp_path / "out"), str(tmp_path / f"c{_}")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "out")).select("chapter_idx", "text")) == [(1, "A cat."), (2, "A dog.")]
+    assert rows(spark.read.parquet(str(tmp_path / "out" / "chunks")).select("chapter_idx", "text")) == [(1, "A cat."), (2, "A dog.")]
+    assert rows(spark.read.parquet(str(tmp_path / "out" / "done"))) == [(1, 1), (1, 2), (1, 3)]
     q = stream.chunk_stream(source).writeStream.format("memory").queryName("quires").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.sql("select chapter_idx, text from quires")) == [(1, "A cat."), (2, "A dog.")]
+
+
+def test_latest_texts(spark):
+    data = [(1, 1, 1, "old", 1), (2, 1, 1, "new", 2), (3, 1, 2, "x", 1), (4, 2, 1, None, 1)]
+    df = spark.createDataFrame(data, "chapter_id long, book_id long, chapter_idx int, text string, loaded_at int")
+    assert rows(timeline.latest_texts(df, ["book_id", "chapter_idx"], ["loaded_at", "chapter_id"]).select("chapter_id")) == [(2,), (3,), (4,)]
+    assert timeline.latest_texts(df.limit(0), ["book_id", "chapter_idx"], ["loaded_at", "chapter_id"]).count() == 0
+
+
+def test_copies_of_pages(spark):
+    """The least text of a page's copies counts, for its heading too; a null copy only where there is no other."""
+    pages = [(1, 0, "Chapter 1\nb."), (1, 0, "Chapter 1\na."), (1, 0, None), (1, 1, "Zebra line.\n"), (1, 1, "Chapter 9\nc."), (1, 2, "Chapter 2\nd."), (1, 2, "Aa.\nd."), (1, 3, None), (1, 4, "Chapter 5\ne."), (1, 4, "Chapter 5\ne.")]
+    got = rows(segment.pattern_chapters(spark.createDataFrame(pages, PAGE)))
+    assert got == [(1, 1, "Chapter 1", "Chapter 1\na.", 1, 1), (1, 2, "Chapter 9", "Chapter 9\nc.\nAa.\nd.", 2, 4), (1, 3, "Chapter 5", "Chapter 5\ne.", 5, 5)]
+
+
+def test_cascade_passes_over_bad_fonts(spark):
+    pages = spark.createDataFrame([(1, i, "plain text.") for i in range(3)], PAGE)
+    bad = spark.createDataFrame([(1, 0)], "book_id long, page_idx int")
+    assert {r["method"] for r in segment.cascade(pages, glyphs=bad).collect()} == {"page_split"}
+
+
+def test_audio(spark):
+    chunks = spark.createDataFrame([(1, 1, 1, "d e"), (1, 1, 0, "a b c"), (1, 2, 0, "f " * 9), (2, 1, 0, "g")], "book_id long, chapter_idx int, chunk_idx int, text string")
+    chapters = audio.assemble_chapters(synth.render(chunks))
+    got = {(r["book_id"], r["chapter_idx"]): r for r in chapters.collect()}
+    assert {k: round(r["duration_s"] * 8000) for k, r in got.items()} == {(1, 1): 40, (1, 2): 72, (2, 1): 8}
+    assert audio.probe(bytes(got[1, 1]["audio"])) == got[1, 1]["duration_s"] and audio.probe(b"x") == audio.probe(None) == 0.0
+    assert [round(r[0] * 8000) for r in audio.durations(chapters.orderBy("book_id", "chapter_idx")).select("duration_s").collect()] == [40, 72, 8]
+    documents = spark.createDataFrame([(1, "doc")], "book_id long, document string")
+    (book,) = audio.bundle_books(chapters, documents).collect()
+    assert book["book_id"] == 1 and round(audio.probe(bytes(book["audio"])) * 8000) == 112 and book["document"] == "doc" and book["error"] is None
+    broken = chapters.unionByName(spark.createDataFrame([(1, 3, b"no wave", 0.0)], "book_id long, chapter_idx int, audio binary, duration_s double"))
+    (book,) = audio.bundle_books(broken, documents).collect()
+    assert book["audio"] is None and book["error"]
+    with pytest.raises(ValueError, match="nothing to join"):
+        audio.join_waves([])
+    with pytest.raises(RuntimeError, match="not installed"):
+        audio.encode_with("no-such-encoder", [])([bytes(got[1, 1]["audio"])])
+
+
+def test_backends(spark, monkeypatch):
+    asked = []
+
+    def send(text, reference):
+        asked.append(text)
+        if len(asked) < 3:
+            raise OSError("busy")
+        return b"s", 1.0, 7
+
+    assert synth.Remote(send, pause=0.0, rate=1000).synthesize("x") == (b"s", 1.0, 7) and len(asked) == 3
+    with pytest.raises(RuntimeError, match="after 2 tries"):
+        synth.Remote(lambda t, r: 1 / 0, tries=2, pause=0.0, rate=1000).synthesize("x")
+    loaded = []
+    local = synth.Local(lambda device: loaded.append(device) or (lambda t, r: (b"l", 0.5, 1)), "cuda")
+    assert [local.synthesize("a"), local.synthesize("b")] == [(b"l", 0.5, 1)] * 2 and loaded == ["cuda"] and synth.backend_name(local) == "Local"
+    monkeypatch.setattr(synth, "BACKENDS", dict(synth.BACKENDS))
+    synth.register("api", synth.Tone)
+    assert synth.backend("api") is synth.Tone
+
+
+def test_options(spark):
+    from pyspark.sql import Observation
+
+    c = spark.createDataFrame([(1, 1, "One", "A cat sat. " * 3), (1, 2, "Two", None)], "book_id long, chapter_idx int, title string, text string")
+    assert rows(pipeline.listing(c)) == [(1, 1, "One", 9), (1, 2, "Two", 0)]
+    assert rows(pipeline.require_chapter(c, 2).select("title")) == [("Two",)]
+    with pytest.raises(ValueError, match="no chapter 3; there are \\[1, 2\\]"):
+        pipeline.require_chapter(c, 3)
+    watch = Observation("run")
+    n = len(pipeline.run(c, watch=watch).collect())
+    assert watch.get["chunks"] == n == 1 and watch.get["words"] == 9
+    assert pipeline.rendered(c, settings.Settings(backend="tone")).count() == 1
+    with pytest.raises(ValueError, match="unknown backend"):
+        pipeline.rendered(c, settings.Settings(backend="nothing"))
+    pipeline.verbose(True)
+    pipeline.verbose(False)
+
+
+def test_voices_and_usage(spark):
+    v = spark.createDataFrame([("default", ""), ("x", "x.wav"), ("y", "y.wav")], "name string, reference_audio string")
+    asked = spark.createDataFrame([(1, None), (2, "x"), (3, "gone"), (4, "y")], "book_id long, voice string")
+    files = spark.createDataFrame([("x.wav",)], "path string")
+    assert rows(books.voice_problems(asked, v, files)) == [(3, "gone", "unknown voice"), (4, "y", "missing reference")]
+    assert rows(books.voice_problems(asked, v)) == [(3, "gone", "unknown voice")]
+    calls = spark.createDataFrame([(1, 5), (1, None), (2, 3)], "book_id long, tokens long")
+    assert {tuple(r) for r in books.usage_report(calls).collect()} == {(1, 5, 2), (2, 3, 1), (None, 8, 3)}
+
+
+def test_extract(spark, tmp_path):
+    (tmp_path / "b.epub").write_bytes(epub("Hi there."))
+    found, chapters = extract.extract(spark, str(tmp_path / "b.epub"))
+    assert [(r["title"], r["author"]) for r in found.collect()] == [("T", "A")]
+    assert rows(chapters.select("chapter_idx", "title", "text")) == [(1, "T", "Hi there.")]
+    (tmp_path / "pages.TXT").write_text("Chapter 1\nfirst.\fmore.\fChapter 2\nsecond.")
+    found, chapters = extract.extract(spark, str(tmp_path / "pages.TXT"))
+    assert [r["title"] for r in found.collect()] == ["pages"]
+    assert rows(chapters.select("chapter_idx", "title", "page_start", "page_end")) == [(1, "Chapter 1", 1, 2), (2, "Chapter 2", 3, 3)]
+
+    def bad(data):
+        raise OSError("damaged")
+        yield ""
+
+    assert [r["error"] for r in extract.read_pages(spark, str(tmp_path / "pages.TXT"), {".txt": bad}).collect()] == ["OSError: damaged"]
+    with pytest.raises(ValueError, match="unsupported format"):
+        extract.extract(spark, "a/b.doc")
+    with pytest.raises(RuntimeError, match="not installed"):
+        extract.extract(spark, "a/b.mobi")
