@@ -22,6 +22,8 @@ __all__ = ["arrow_schema", "checkpointed", "count_tokens", "letter_or_digit", "m
 
 #: Characters that one numpy pass holds at most (a longer single text is a pass of its own).
 PASS_CHARS = 1 << 20
+#: Arrow bytes whose rows are Python objects at a time (a larger single row is a slice of its own).
+SLICE_BYTES = 4 << 20
 
 
 @functools.cache
@@ -79,8 +81,11 @@ def map_columns(df: DataFrame, columns: list[str], schema: T.StructType, make: C
             if not b.num_rows:
                 continue
             of = of or make()
-            got = of(*(b.column(i).to_pylist() for i in range(len(columns))))
-            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+            step = max(1, b.num_rows * SLICE_BYTES // max(b.nbytes, SLICE_BYTES))
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                got = of(*(part.column(i).to_pylist() for i in range(len(columns))))
+                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -231,7 +231,7 @@ def findings(text: str | None, first: int | None, last: int | None, known: dict[
     """Rows of ITEM for one text: furniture and broken for certain; head and word for the joins to judge.
 
     A text of which a hyphen, or whether a line is language, can't be judged by the lexicon gives
-    only the words it asks for. With their counts, `own` (word, count, whether it is no misread
+    only the words it asks for, and itself. With their counts, `own` (word, count, whether it is no misread
     one), it gives its findings, and any other text nothing.
     """
     if not text or "\n" not in text:
@@ -251,7 +251,7 @@ def findings(text: str | None, first: int | None, last: int | None, known: dict[
         if 2 * sum(w in known for w in found) <= len(found):
             asked.update(w for w in found if w not in known)
     if asked and own is None:
-        return [(0, "ask", w, None, None) for w in asked]
+        return [*((0, "ask", w, None, None) for w in asked), (0, "text", text, first, last)]
     if not asked and own is not None:
         return []
     out: list[tuple] = [(i + 1, "furniture", None, None, None) for i in sorted(sure)]
@@ -353,13 +353,14 @@ def scan_findings(chapters: DataFrame, books: DataFrame, lexicon: int = LEXICON)
     cast = cast.where(F.instr("text", "\n") > 0)
     cast = cast.withColumn("own", F.lit(None).cast("array<struct<key:string,n:bigint,good:boolean>>"))
     once = checkpointed(map_columns(cast, cast.columns, schema, make))
-    # texts whose hyphens and lines the lexicon can't judge are read again with the counts of their words
+    # texts whose hyphens and lines the lexicon can't judge come again with the counts of their words; the others stay where they are
     wanted = once.where("kind = 'ask'").select(F.col("chapter_id").alias("__id"), F.col("row").alias("__row"), "key").distinct()
     judged = wanted.join(counts, "key", "left").join(fixes.select(F.col("word").alias("key"), F.lit(False).alias("good")), "key", "left")
     entry = F.when(F.col("n").isNotNull(), F.struct("key", "n", F.coalesce("good", F.lit(True)).alias("good")))
     own = judged.groupBy("__id", "__row").agg(F.collect_list(entry).alias("own"))
-    asking = cast.drop("own").join(own, F.col("chapter_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).drop("__id", "__row")
-    items = checkpointed(once.where("kind <> 'ask'").unionAll(map_columns(asking, asking.columns, schema, make)))
+    unsettled = once.where("kind = 'text'").select("chapter_id", "row", "book_id", F.col("key").alias("text"), F.col("cut").alias("page_start"), F.col("next_no").alias("page_end"))
+    asking = unsettled.join(own, F.col("chapter_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).drop("__id", "__row")
+    items = checkpointed(once.where("kind not in ('ask', 'text')").unionAll(map_columns(asking, asking.columns, schema, make)))
 
     # running heads: the title or the author, but for misread characters
     names = books.select("book_id", F.explode(F.array("title", "author")).alias("name")).where("name is not null").withColumn("name_key", key_column(F.col("name"))).where(F.length("name_key") > 2)
