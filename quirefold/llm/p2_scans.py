@@ -286,13 +286,15 @@ def findings(text: str | None, first: int | None, last: int | None, known: dict[
 
 
 def anagram_hash(c: Column) -> Column:
-    """Sum over the characters of the fifth power of the code point modulo 1009."""
-    code = lambda x: F.pmod(F.ascii(x).cast("long"), F.lit(1009).cast("long"))
-    return F.aggregate(F.split(c, ""), F.lit(0).cast("long"), lambda s, x: s + code(x) * code(x) * code(x) * code(x) * code(x))
+    """Sum over the characters of 40 bits of each one's 64-bit hash."""
+    return F.aggregate(F.split(c, ""), F.lit(0).cast("long"), lambda s, x: s + F.shiftrightunsigned(F.xxhash64(x), 24))
 
 
 def _hash(s: str) -> int:
-    return sum((ord(c) % 1009) ** 5 for c in s)
+    """anagram_hash() of a string."""
+    import xxhash
+
+    return sum(xxhash.xxh64_intdigest(c.encode("utf-8", "replace"), seed=42) >> 24 for c in s)
 
 
 def corrections(counts: DataFrame) -> DataFrame:
@@ -306,8 +308,8 @@ def corrections(counts: DataFrame) -> DataFrame:
     sized = counts.where(F.length("key").between(2, longest)).select("key", "n")
     true = often.select(F.col("key").alias("fix"), F.col("n").alias("n_fix"), anagram_hash(F.col("key")).alias("h"))
     rare = sized.select(F.col("key").alias("word"), "n", anagram_hash(F.col("key")).alias("h0"))
-    table = F.array(*(F.struct(F.lit(a).alias("misread"), F.lit(b).alias("true_part"), F.lit(_hash(b) - _hash(a)).alias("shift")) for a, b in CONFUSIONS))
-    held = rare.withColumn("c", F.explode(F.filter(table, lambda c: F.instr(F.col("word"), c["misread"]) > 0)))
+    confusion = lambda a, b: F.struct(F.lit(a).alias("misread"), F.lit(b).alias("true_part"), F.lit(_hash(b) - _hash(a)).alias("shift"))
+    held = rare.withColumn("c", F.explode(F.array(*(F.when(F.col("word").contains(a), confusion(a, b)) for a, b in CONFUSIONS)))).where("c is not null")
     shifted = held.select("word", "n", "c.misread", "c.true_part", (F.col("h0") + F.col("c.shift")).alias("h"))
     same = "filter(sequence(1, length(word)), p -> substring(word, p, length(misread)) = misread and concat(substring(word, 1, p - 1), true_part, substring(word, p + length(misread))) = fix)"
     letters = F.col("misread").rlike(r"^\p{L}$") & F.col("true_part").rlike(r"^\p{L}$")
