@@ -92,7 +92,9 @@ _STOPLESS = re.compile(r"[\u0e00-\u0eff]")
 LONG_WORDS, SURER = 12, 0.75
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters without a space that are no word, in scripts that have spaces.
-_LONG_RUN = re.compile(r"(?:(?![\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u9fff\uac00-\ud7a3])[^\W\d_]){40,}")
+LONGEST = 40
+_LONG_RUN = re.compile(rf"(?:(?![\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u9fff\uac00-\ud7a3])[^\W\d_]){{{LONGEST},}}")
+_WIDE = re.compile("[\u3040-\u9fff]")
 
 
 def paragraphs(text: str | None) -> list[tuple[int, str, bool]]:
@@ -112,7 +114,10 @@ def paragraphs(text: str | None) -> list[tuple[int, str, bool]]:
     text = _HEADING.sub("", text)
     out = []
     for i, p in enumerate((q for q in text.split("\n") if q.strip()), 1):
-        p = " ".join(_LONG_RUN.sub(" ", p).split())
+        words = p.split()
+        p = " ".join(words)
+        if max(map(len, words)) >= LONGEST:
+            p = " ".join(_LONG_RUN.sub(" ", p).split())
         if not is_prose(p):
             continue
         if _STOP.search(p) or len(_STOPLESS.findall(p)) * 2 > len(p):
@@ -131,7 +136,7 @@ def is_prose(p: str) -> bool:
     """Words enough for a sentence, letters for most characters."""
     w = _WORD.findall(p)
     letters = sum(map(len, w))
-    wide = sum("\u3040" <= c <= "\u9fff" for c in p)
+    wide = 0 if p.isascii() else len(_WIDE.findall(p))
     if letters * 2 < len(p.replace(" ", "")) and not any("\u0900" <= c <= "\u0dff" or "\u0e00" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" for c in p):
         return False
     return wide >= 6 or letters >= 12 and (len(w) >= 3 or bool(_STOPLESS.search(p)))
@@ -175,7 +180,7 @@ class Classifier:
             return z.ZstdCompressor(dict_data=d, **kw).compress
 
         self.deep = deep
-        self.plain = compressor(None, LEVEL if deep else QUICK_LEVEL)
+        self.plain = {x: compressor(None, x) for x in (QUICK_LEVEL, LEVEL)}
         self.by: dict[str, list[tuple]] = defaultdict(list)
         for n in sorted(texts):
             views = (compressor(apart(texts[n]), QUICK_LEVEL), *((compressor(apart(texts[n]), LEVEL), compressor(running(texts[n]), LEVEL)) if deep else ()))
@@ -202,19 +207,22 @@ class Classifier:
         quick = sorted((len(c[1](data)), *c) for c in own)
         if not quick:
             return [], 0
-        if not self.deep:
-            return [x[:2] for x in quick], len(self.plain(data)) - quick[0][0]
-        most = max(quick[0][0] * FAR, quick[0][0] + FAR_BYTES)
-        deep = sorted((len(c[3](data)), *c[1:]) for c in quick if c[0] <= most)
-        best = deep[0][0]
-        gain = len(self.plain(data)) - best
-        near = [c for c in deep if c[0] <= best + MARGIN]
-        if len(near) > 1:
+        best, gain = quick[0][0], len(self.plain[QUICK_LEVEL](data)) - quick[0][0]
+        most = max(best * FAR, best + FAR_BYTES)
+        near = [c for c in quick if c[0] <= most]
+        if not self.deep or len(near) == 1 and gain > best * (FAR - 1):
+            # nothing comes near: the quick sizes decide
+            return [x[:2] for x in quick], gain
+        deep = sorted((len(c[3](data)), *c[1:]) for c in near)
+        least = deep[0][0]
+        gain = len(self.plain[LEVEL](data)) - least
+        close = [c for c in deep if c[0] <= least + MARGIN]
+        if len(close) > 1:
             # the running text adds its bytes where the words alone come near to a tie
             data = running(p)
-            more = {c[1]: len(c[4](data)) for c in near}
+            more = {c[1]: len(c[4](data)) for c in close}
             deep = sorted((c[0] + more.get(c[1], min(more.values())) - min(more.values()), *c[1:]) for c in deep)
-        return [c[:2] for c in deep] + [(best + c[0] - quick[0][0], c[1]) for c in quick if c[0] > most], gain
+        return [c[:2] for c in deep] + [(least + c[0] - best, c[1]) for c in quick if c[0] > most], gain
 
     def _name(self, p: str) -> tuple[str | None, float, frozenset[str]]:
         sizes, gain = self.sizes(p)
