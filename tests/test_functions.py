@@ -151,6 +151,12 @@ def test_chunks_of_random_texts(spark, most):
     assert got == in_sql(oracle.chunks("v", most), texts)
 
 
+def test_chunks_of_a_text_of_many_blocks(spark):
+    """Borders of blocks leave no mark: chunks of a text that is many blocks long are those that SQL packs in one go."""
+    texts = [" ".join(f"Word {i}{'x' * (i % 23)}{'.' if i % 3 else ','}" for i in range(n)) for n in (chunk.BLOCK, chunk.BLOCK * 3 + 1, 5000)]
+    assert apply(spark, lambda c: chunk.chunks(c, 50), texts) == in_sql(oracle.chunks("v", 50), texts)
+
+
 def test_chunks_of_null(spark):
     assert apply(spark, chunk.chunks, [None]) == [None]
 
