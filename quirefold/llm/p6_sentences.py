@@ -194,6 +194,7 @@ def _read(line: str, ignored: set[int], last: dict[str, int], marker: int = 0) -
     if not n:
         return [], set()
     ends: list[int] = []
+    number = int(line[: marker - 1]) if marker and line[: marker - 1].isdecimal() else None  # of the running item
     stack: list[tuple[str, int, bool]] = []  # what closes it, where it opened, whether a colon introduced it
     begin = 0  # of the running sentence
     skip = marker
@@ -257,6 +258,10 @@ def _read(line: str, ignored: set[int], last: dict[str, int], marker: int = 0) -
                 continue
             if _dash_follows(line, t) and _goes_on_after_dash(line, t) and c != ".":
                 continue
+            if c == "." and single and number is not None and after != "none" and line[begin:i].strip() == str(number + 1):
+                # the next item of a list within the line
+                number += 1
+                continue
             if c == "." and single and _no_stop(line, i, t, after):
                 continue
             if (line[i:j] == "..." or "…" in line[i:j]) and after not in ("up", "other", "digit", "none"):

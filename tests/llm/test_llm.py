@@ -558,6 +558,8 @@ def test_p6_list_levels():
     items = ["Contents", "1. The house", "a. The door. It is old.", "b. The gate", "2. 5 apples", "II. The river"]
     assert parts("\n".join(items)) == [*items[:2], "a. The door.", "It is old.", *items[3:]]
     assert parts("A list:\nII. The house\nIII. The river") == ["A list:", "II. The house", "III. The river"]
+    # items within a line
+    assert parts("1. The first item. 2. The second one. 3. It cost 4. 5 came.") == ["1. The first item.", "2. The second one.", "3. It cost 4.", "5 came."]
     # a number that a wrapped line begins with is none
     assert parts("He was on page\n12. The house was dark.") == ["He was on page", "12.", "The house was dark."]
 
