@@ -142,17 +142,22 @@ def is_prose(p: str) -> bool:
     return wide >= 6 or letters >= 12 and (len(w) >= 3 or bool(_STOPLESS.search(p)))
 
 
-#: Scripts by the high byte of a UTF-16 unit; Japanese and Chinese share one.
-SCRIPTS = {**dict.fromkeys((0, 1, 2, 0x1E, 0x2C, 0xA7), "Latn"), 3: "Grek", 0x1F: "Grek", 4: "Cyrl", 5: "Cyrl", 6: "Arab", 7: "Arab", 0x30: "Hani", 0x31: "Hani", **dict.fromkeys(range(0x34, 0xA0), "Hani"), **dict.fromkeys(range(0xAC, 0xD8), "Hang")}
+#: Scripts by the high byte of a UTF-16 unit.
+SCRIPTS = {**dict.fromkeys((0, 1, 2, 0x1E, 0x2C, 0xA7), "Latn"), 3: "Grek", 0x1F: "Grek", 4: "Cyrl", 5: "Cyrl", 6: "Arab", 7: "Arab", 0x30: "Kana", 0x31: "Kana", **dict.fromkeys(range(0x34, 0xA0), "Hani"), **dict.fromkeys(range(0xAC, 0xD8), "Hang")}
 
 
 def script(p: str) -> str:
-    """The script that most letters of a text are of; scripts without a name of their own by their block."""
+    """The script that most letters of a text are of; scripts without a name of their own by their block.
+
+    Kana with Chinese characters are the script of Japanese, which has no prose without them; a few in a Chinese text are not.
+    """
     if p.isascii():
         return "Latn"
     found: Counter = Counter()
     for high, n in Counter("".join(_WORD.findall(p)).encode("utf-16-le")[1::2]).items():
         found[SCRIPTS.get(high, f"block {high}")] += n
+    if kana := found.pop("Kana", 0):
+        found["Jpan" if kana * 10 > found["Hani"] else "Hani"] += kana + (found.pop("Hani", 0) if kana * 10 > found["Hani"] else 0)
     return max(found, key=lambda k: (found[k], k), default="Latn")
 
 
